@@ -6,6 +6,8 @@ import numpy as np
 
 POINT_COLUMNS = ("x", "y", "bearing", "v_own", "v_int")
 
+SLICE_ROWS = 1024
+
 
 def vertices(points: np.ndarray, cuts: tuple[tuple[float, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Index and weight of the 2^d corners around each point, shapes ``(2^d, n)``.
@@ -31,11 +33,20 @@ def vertices(points: np.ndarray, cuts: tuple[tuple[float, ...], ...]) -> tuple[n
 
 
 def utilities(points: np.ndarray, cuts, table: np.ndarray) -> np.ndarray:
-    """Interpolated rows of ``table`` (states x actions), summed in vertex order."""
-    index, weight = vertices(points, cuts)
+    """Interpolated rows of ``table`` (states x actions), summed in vertex order.
+
+    Works through slices whose temporaries stay in the processor cache.
+    """
     out = np.zeros((len(points), table.shape[1]))
-    for corner in range(len(index)):
-        out += weight[corner][:, None] * table[index[corner]]
+    gathered = np.empty((SLICE_ROWS, table.shape[1]))
+    for start in range(0, len(points), SLICE_ROWS):
+        index, weight = vertices(points[start : start + SLICE_ROWS], cuts)
+        total = out[start : start + SLICE_ROWS]
+        rows = gathered[: len(total)]
+        for corner in range(len(index)):
+            np.take(table, index[corner], axis=0, out=rows, mode="clip")
+            rows *= weight[corner][:, None]
+            total += rows
     return out
 
 

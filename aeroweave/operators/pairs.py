@@ -119,9 +119,14 @@ def _blocked(side: DataFrame, hot: DataFrame | None, mine: str, other: str) -> D
 def hot_cells(flights: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
     """Cells whose join would exceed ``block_rows`` per task, with their block count; None if none.
 
-    Runs one counting job. The list is broadcast only when it is short enough.
+    Runs one counting job, and a second one only if a cell is large. The list is broadcast only
+    when it is short enough.
     """
-    busy = _arrivals(_cell_counts(flights)).where(F.col("arrivals") > block_rows)
+    counts = _cell_counts(flights)
+    peak = counts.agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
+    if peak * len(_FORWARD) <= block_rows:
+        return None
+    busy = _arrivals(counts).where(F.col("arrivals") > block_rows)
     blocks = F.ceil(F.col("arrivals") / F.lit(block_rows)).cast("int")
     hot = materialize(busy.select("conflict_id", "cx", "cy", blocks.alias("nb")))
     count = hot.count()
@@ -130,9 +135,8 @@ def hot_cells(flights: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame | N
     return F.broadcast(hot) if count <= MAX_BROADCAST_CELLS else hot
 
 
-def _nearby(flights: DataFrame, block_rows: int | None) -> DataFrame:
+def _nearby(flights: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Unordered pairs ``(l, r)`` that may be in range of each other."""
-    hot = None if block_rows is None else hot_cells(flights, block_rows)
     cells = _celled(flights)
     body = F.struct(*[c for c in flights.columns if c != "conflict_id"])
     left = cells.select("conflict_id", "cx", "cy", "ord", body.alias("l"))
@@ -160,11 +164,22 @@ def in_range_pairs(
 
     Equi-join on ``(conflict_id, cell)``: one side goes to its own cell, the other to five, and
     each unordered pair found is tested in both directions. Cells with more than ``block_rows``
-    arrivals are cut into blocks on both sides, so that no task holds a hot cell; None skips the
-    counting job where the caller knows that no cell is hot.
+    arrivals are cut into blocks on both sides, so that no task holds a hot cell. To find them the
+    states are written to the checkpoint folder once, so that the source is read once; None skips
+    both where the caller knows that no cell is hot.
     """
     columns = [c for c in ("flight_id", "ord", *_STATE) if c in flights.columns]
     lean = flights.select("conflict_id", *columns)
+    hot = None
+    if block_rows is not None:
+        lean = materialize(lean)
+        hot = hot_cells(lean, block_rows)
+    return _pairs(lean, hot, wrap_bearing)
+
+
+def _pairs(flights: DataFrame, hot: DataFrame | None, wrap_bearing: bool = False) -> DataFrame:
+    """:func:`in_range_pairs` on states that need no preparation."""
+    columns = [c for c in flights.columns if c != "conflict_id"]
 
     def side(own: str, intr: str) -> Column:
         names = [("id" if c == "flight_id" else c) for c in columns]
@@ -173,7 +188,7 @@ def in_range_pairs(
             *[F.col(f"{intr}.{c}").alias(f"intr_{n}") for c, n in zip(columns, names)],
         )
 
-    both = _nearby(lean, block_rows).select(
+    both = _nearby(flights, hot).select(
         "conflict_id", F.inline(F.array(side("l", "r"), side("r", "l")))
     )
     pairs = relative_state(both, wrap_bearing).where(~is_terminal(F.col("x"), F.col("y")))
@@ -181,6 +196,12 @@ def in_range_pairs(
     return pairs.select(*keys, "x", "y", "bearing", "v_own", "v_int")
 
 
+def pairs_within(flights: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """:func:`in_range_pairs` for states that are materialized already."""
+    columns = [c for c in ("flight_id", "ord", *_STATE) if c in flights.columns]
+    return _pairs(flights.select("conflict_id", *columns), hot_cells(flights, block_rows))
+
+
 def pair_counts(flights: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per ownship of a group of two or more: ``n_pairs, n_in_range, n_terminal``."""
     near = pairs.groupBy("conflict_id", F.col("own_ord").alias("ord")).agg(
@@ -198,5 +219,6 @@ def pair_counts(flights: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def ordered_pairs(flights: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """All ordered pairs of every group in factored form: in-range pairs and per-ownship counts."""
-    pairs = in_range_pairs(flights, block_rows)
+    flights = materialize(flights.select("conflict_id", "flight_id", "ord", *_STATE))
+    pairs = pairs_within(flights, block_rows)
     return pairs, pair_counts(flights, pairs)
