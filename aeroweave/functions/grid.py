@@ -35,43 +35,51 @@ class Grid:
     def strides(self) -> tuple[int, ...]:
         return tuple(math.prod(len(a) for a in self.cuts[:d]) for d in range(self.dimensions))
 
-    def bracket(self, coord: Column, dim: int) -> Column:
-        """``struct(lo, hi, w_lo, w_hi)``: the cuts around a coordinate, clamped at both ends."""
+    def _cases(self, coord: Column, dim: int, edge) -> Column:
+        """``edge(lo, hi, w_lo, w_hi)`` for the interval or cut that holds the coordinate.
+
+        One flat CASE: nothing is computed twice, and the generated code stays short.
+        """
         axis = self.cuts[dim]
-        last = len(axis) - 1
-        cuts = F.array(*[F.lit(float(c)) for c in axis])
-        # plain comparisons stay in generated code, a lambda over the array would not
-        below = sum((coord > c).cast("int") for c in axis[1:]) + (coord > axis[0]).cast("int")
-        exact = (coord <= axis[0]) | (coord >= axis[last]) | (F.get(cuts, below) == coord)
-        hi = F.least(below, F.lit(last))
-        lo = F.when(exact, hi).otherwise(hi - 1)
-        low = 1.0 - (coord - F.get(cuts, lo)) / (F.get(cuts, hi) - F.get(cuts, lo))
-        w_lo = F.when(exact, F.lit(1.0)).otherwise(low)
-        return F.when(
-            coord.isNotNull() & ~F.isnan(coord),
-            F.struct(
-                lo.alias("lo"), hi.alias("hi"), w_lo.alias("w_lo"), (1.0 - w_lo).alias("w_hi")
-            ),
+        one, zero = F.lit(1.0), F.lit(0.0)
+        cases = F.when(coord.isNull() | F.isnan(coord), None).when(
+            coord <= axis[0], edge(0, 0, one, zero)
         )
+        for i in range(1, len(axis)):
+            low = 1.0 - (coord - axis[i - 1]) / (axis[i] - axis[i - 1])
+            cases = cases.when(coord < axis[i], edge(i - 1, i, low, 1.0 - low))
+            if i < len(axis) - 1:
+                cases = cases.when(coord == axis[i], edge(i, i, one, zero))
+        last = len(axis) - 1
+        return cases.otherwise(edge(last, last, one, zero))
+
+    def bracket(self, coord: Column, dim: int) -> Column:
+        """``struct(lo, hi, w_lo, w_hi)``: the cuts around a coordinate, clamped at both ends."""
+
+        def edge(lo: int, hi: int, w_lo: Column, w_hi: Column) -> Column:
+            return F.struct(
+                F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), w_lo.alias("w_lo"), w_hi.alias("w_hi")
+            )
+
+        return self._cases(coord, dim, edge)
 
     def interpolants(self, coords: Sequence[Column]) -> Column:
         """``array<struct<state_idx,w>>`` with 1 to 2^d vertices; the weights sum to 1."""
         vertices = None
         for dim, (coord, stride) in enumerate(zip(coords, self.strides, strict=True)):
-            edge = self.bracket(coord, dim)
-            vertices = self._extend(vertices, self._axis(edge, stride))
+            vertices = self._extend(vertices, self._axis(coord, dim, stride))
         return vertices
 
-    @staticmethod
-    def _axis(edge: Column, stride: int) -> Column:
-        def vertex(position: str, weight: str) -> Column:
-            return F.struct(
-                (edge[position] * stride).cast("int").alias("state_idx"), edge[weight].alias("w")
-            )
+    def _axis(self, coord: Column, dim: int, stride: int) -> Column:
+        def vertex(cut: int, weight: Column) -> Column:
+            return F.struct(F.lit(cut * stride).alias("state_idx"), weight.alias("w"))
 
-        return F.when(edge["lo"] == edge["hi"], F.array(vertex("lo", "w_lo"))).when(
-            edge.isNotNull(), F.array(vertex("lo", "w_lo"), vertex("hi", "w_hi"))
-        )
+        def edge(lo: int, hi: int, w_lo: Column, w_hi: Column) -> Column:
+            if lo == hi:
+                return F.array(vertex(lo, w_lo))
+            return F.array(vertex(lo, w_lo), vertex(hi, w_hi))
+
+        return self._cases(coord, dim, edge)
 
     @staticmethod
     def _extend(vertices: Column | None, axis: Column) -> Column:

@@ -281,9 +281,10 @@ def _noise(expr_key: str, label: str, start: int) -> str:
 
 POINTS = """points AS (
   SELECT seq AS event_id, seq AS pid,
-    CASE WHEN seq % 5 = 0 THEN lat - CAST(CAST(lat AS BIGINT) % 400 AS DOUBLE) ELSE lat END AS x, lon AS y,
-    CASE WHEN seq % 7 = 0 THEN 1.5708::DOUBLE ELSE heading - 2 END AS bearing,
-    speed - 2 AS v_own, CASE WHEN seq % 3 = 0 THEN 15.0::DOUBLE ELSE speed + 3 END AS v_int
+    CASE WHEN seq % 5 = 0 THEN lat - CAST(CAST(lat AS BIGINT) % 400 AS DOUBLE) ELSE lat / 1.1::DOUBLE END AS x,
+    lon / 1.1::DOUBLE AS y, CASE WHEN seq % 7 = 0 THEN 1.5708::DOUBLE ELSE heading - 2 END AS bearing,
+    speed / 1.1::DOUBLE AS v_own,
+    CASE WHEN seq % 3 = 0 THEN 15.0::DOUBLE ELSE speed * 1.3::DOUBLE / 1.1::DOUBLE END AS v_int
   FROM reports)"""
 
 
@@ -408,7 +409,7 @@ FROM orders WHERE o_orderkey % 11 <> 0""",
   {_r(_turn('bank', 'speed'), 9)} AS turn_rate, {_r(_wrap('heading * 3 - 9'), 9)} AS wrapped FROM valued""",
     "grid_bracket": _with(REPORTS, POINTS) + f"SELECT event_id, {_bracket_columns()} FROM points p",
     "grid_interpolants": _with(REPORTS, POINTS, AXES, _vertices("points", "event_id"))
-    + f"SELECT event_id, state_idx, {_r('w', 9)} AS w FROM vertices",
+    + f"SELECT event_id, state_idx, {_r('w')} AS w FROM vertices",
     "grid_interpolate": _with(REPORTS, POINTS)
     + f"SELECT event_id, {_r(_interpolated())} AS value FROM points p",
     "grid_decode": f"""SELECT event_id, CAST(idx AS INTEGER) AS state_idx, {_decoded()}
@@ -473,8 +474,8 @@ FROM best GROUP BY conflict_id""",
   {_r('CAST(seq % 7 AS DOUBLE) / 40')} AS turn_rate FROM reports WHERE seq % 10 <> 3""",
     "advisory_rejects": "SELECT event_id FROM events WHERE event_id % 10 = 3",
     "apply_advisories": _with(*ADVISED_CTES)
-    + f"""SELECT conflict_id, flight_id, clear_of_conflict, {_r('turn_rate')} AS turn_rate,
-  CAST(period_s AS INTEGER) AS period_s FROM advised""",
+    + f"""SELECT conflict_id, flight_id, CAST(clear_of_conflict AS VARCHAR) AS clear_of_conflict,
+  {_r('turn_rate')} AS turn_rate, CAST(period_s AS DOUBLE) AS period_s FROM advised""",
     "unmatched_advisories": _with(REPORTS, FLIGHTS, ROSTER)
     + "SELECT conflict_id, flight_id FROM roster WHERE ord % 2 <> 0",
     "project_straight": _with(REPORTS)

@@ -7,6 +7,7 @@ from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,8 +98,9 @@ class TablePolicy:
         """The table as ``(state_idx, u)``."""
         if isinstance(self.utility, DataFrame):
             return self.utility
-        pdf = pd.DataFrame({"state_idx": np.arange(self.n_states), "u": list(self._matrix)})
-        return spark.createDataFrame(pdf, "state_idx bigint, u array<double>")
+        offsets = pa.array(np.arange(self.n_states + 1, dtype=np.int32) * self.n_joint)
+        rows = pa.ListArray.from_arrays(offsets, pa.array(self._matrix.ravel()))
+        return spark.createDataFrame(pa.table({"state_idx": np.arange(self.n_states), "u": rows}))
 
     def pair_q(self, pairs: DataFrame) -> DataFrame:
         """Joint-action utilities ``q`` per in-range pair."""

@@ -386,11 +386,11 @@ def _points(spark, sf) -> DataFrame:
     e = F.col("seq")
     return fixtures.reports(spark, sf).select(
         F.col("seq").alias("event_id"),
-        F.when(e % 5 == 0, F.col("lat") - F.col("lat") % 400).otherwise(F.col("lat")).alias("x"),
-        F.col("lon").alias("y"),
+        F.when(e % 5 == 0, F.col("lat") - F.col("lat") % 400).otherwise(F.col("lat") / 1.1).alias("x"),
+        (F.col("lon") / 1.1).alias("y"),
         F.when(e % 7 == 0, F.lit(1.5708)).otherwise(F.col("heading") - 2.0).alias("bearing"),
-        (F.col("speed") - 2.0).alias("v_own"),
-        F.when(e % 3 == 0, F.lit(15.0)).otherwise(F.col("speed") + 3.0).alias("v_int"),
+        (F.col("speed") / 1.1).alias("v_own"),
+        F.when(e % 3 == 0, F.lit(15.0)).otherwise(F.col("speed") * 1.3 / 1.1).alias("v_int"),
     )
 
 
@@ -409,7 +409,7 @@ def grid_bracket_query(spark, sf):
 def grid_interpolants_query(spark, sf):
     vertices = pair_belief(_points(spark, sf), GRID)
     return vertices.select("event_id", F.explode("vertices").alias("v")).select(
-        "event_id", F.col("v.state_idx").alias("state_idx"), _r("v.w", 9).alias("w")
+        "event_id", F.col("v.state_idx").alias("state_idx"), _r("v.w").alias("w")
     )
 
 
@@ -644,7 +644,11 @@ def _advised(spark, sf) -> DataFrame:
 
 def apply_advisories_query(spark, sf):
     return _advised(spark, sf).select(
-        "conflict_id", "flight_id", "clear_of_conflict", _r("turn_rate").alias("turn_rate"), "period_s"
+        "conflict_id",
+        "flight_id",
+        F.col("clear_of_conflict").cast("string").alias("clear_of_conflict"),
+        _r("turn_rate").alias("turn_rate"),
+        F.col("period_s").cast("double").alias("period_s"),
     )
 
 
