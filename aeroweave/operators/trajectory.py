@@ -121,13 +121,16 @@ def _rate(noise: NoiseModel | None, step: Column) -> Column:
     )
 
 
-def _disturbed(
-    state: Sequence[Column], dt: Column, noise: NoiseModel | None, step: Column
-) -> list[Column]:
-    moved = _move(state, dt, _rate(noise, step))
-    if noise is None:
-        return moved
-    return [m + noise.sample(name, step) for m, name in zip(moved, _STATE)]
+def _draws(noise: NoiseModel, step: Column) -> Column:
+    """All random quantities of one step; they do not depend on the state."""
+    return F.struct(
+        _rate(noise, step).alias("rate"), *[noise.sample(n, step).alias(n) for n in _STATE]
+    )
+
+
+def _disturbed(state: Sequence[Column], dt: Column, draws: Column) -> list[Column]:
+    moved = _move(state, dt, draws["rate"])
+    return [m + draws[name] for m, name in zip(moved, _STATE)]
 
 
 def project_state(df: DataFrame, dt: float = 5.0, noise: NoiseModel | None = None) -> DataFrame:
@@ -136,7 +139,10 @@ def project_state(df: DataFrame, dt: float = 5.0, noise: NoiseModel | None = Non
     Clear or level advisories and missing ones drift straight on (or at the turn noise), others
     turn at their rate. ``dt`` seconds pass where no advisory names a period.
     """
-    return _replace(df, _disturbed(_columns(), _period(dt), noise, F.lit(1)))
+    if noise is None:
+        return _replace(df, _move(_columns(), _period(dt), _rate(None, F.lit(1))))
+    drawn = df.withColumn("_draws", _draws(noise, F.lit(1)))
+    return _replace(drawn, _disturbed(_columns(), _period(dt), F.col("_draws"))).drop("_draws")
 
 
 def rollout(
@@ -145,7 +151,8 @@ def rollout(
     """``steps`` rows per aircraft, the advisory being supplied again at each step.
 
     Without noise, step k is one move of k periods: an arc stays the same arc. So every row is
-    computed on its own. With noise the steps are folded in order inside the row.
+    computed on its own. With noise the draws are made first, then the steps are folded in order
+    inside the row.
     """
     if noise is None:
         rows = df.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
@@ -156,13 +163,14 @@ def rollout(
     def as_struct(values: Sequence[Column]) -> Column:
         return F.struct(*[v.alias(n) for v, n in zip(values, names)])
 
-    def advance(path: Column, step: Column) -> Column:
+    def advance(path: Column, draws: Column) -> Column:
         last = F.element_at(path, -1)
-        lat, lon, heading, speed = _disturbed([last[n] for n in names], _period(dt), noise, step)
+        lat, lon, heading, speed = _disturbed([last[n] for n in names], _period(dt), draws)
         return F.concat(path, F.array(as_struct([lat, lon, wrap_angle(heading), speed])))
 
+    draws = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda step: _draws(noise, step))
     start = F.array(as_struct([F.col(n).cast("double") for n in names]))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance)
+    path = F.aggregate(draws, start, advance)
     rest = [c for c in df.columns if c not in names]
     rows = df.select(*rest, F.posexplode(F.slice(path, 2, steps)).alias("_pos", "_s"))
     return rows.select(*rest, *[F.col(f"_s.{n}") for n in names], (F.col("_pos") + 1).alias("step"))

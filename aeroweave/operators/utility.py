@@ -94,6 +94,8 @@ def pair_utility_by_join(
 
     For tables too large to broadcast; Catalyst chooses the join.
     """
+    if missing := {"conflict_id", "own_ord", "intr_ord"} - set(beliefs.columns):
+        raise ValueError(f"pairs are not identified without {sorted(missing)}")
     keys = [k for k in keys if k in beliefs.columns]
     rows = beliefs.select(*keys, F.explode("vertices").alias("v")).select(
         *keys, F.col("v.state_idx").alias("state_idx"), F.col("v.w").alias("w")

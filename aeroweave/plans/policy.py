@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
 
 import numpy as np
@@ -113,7 +113,8 @@ class TablePolicy:
         """Utilities ``u0..`` per in-range pair while the intruder is clear of conflict."""
         n = len(self.actions)
         if self.broadcastable:
-            return clear_utility(pairs, self.table(pairs.sparkSession), self.grid, n)
+            lean = pairs.drop("own_id", "intr_id", "intr_ord")
+            return clear_utility(lean, self.table(pairs.sparkSession), self.grid, n)
         keep = [c for c in pairs.columns if c not in ("x", "y", "bearing", "v_own", "v_int")]
         q = self.pair_q(pairs)
         return q.select(
@@ -157,14 +158,43 @@ class FunctionPolicy:
             usable = sized.where(small).drop("n")
         fn, actions = self.fn, np.asarray(self.actions)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("ord", ignore_index=True)
-            chosen = np.asarray(fn(pdf), dtype=np.int32)
-            return pdf[["conflict_id", "flight_id", "ord"]].assign(
-                action_idx=chosen, bank=actions[chosen], joint_util=np.nan, n_iter=1, hit_cap=False
+        def answer(group: pd.DataFrame) -> pd.DataFrame:
+            chosen = np.asarray(fn(group.reset_index(drop=True)), dtype=np.int32)
+            return pd.DataFrame(
+                {
+                    "conflict_id": group["conflict_id"].to_numpy(),
+                    "flight_id": group["flight_id"].to_numpy(),
+                    "ord": group["ord"].to_numpy(),
+                    "action_idx": chosen,
+                    "bank": actions[chosen],
+                    "joint_util": np.nan,
+                    "n_iter": np.int32(1),
+                    "hit_cap": False,
+                }
             )
 
-        resolved = usable.groupBy("conflict_id").applyInPandas(run, RESOLUTION)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Groups arrive one after the other; only the unfinished last one is held back."""
+            held: list[pd.DataFrame] = []
+            for batch in batches:
+                if batch.empty:
+                    continue
+                ids = batch["conflict_id"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+                pieces = [batch.iloc[a:b] for a, b in zip(starts, np.r_[starts[1:], len(batch)])]
+                done = []
+                for piece in pieces:
+                    if held and held[0]["conflict_id"].iat[0] != piece["conflict_id"].iat[0]:
+                        done.append(answer(pd.concat(held)))
+                        held = []
+                    held.append(piece)
+                if done:
+                    yield pd.concat(done)
+            if held:
+                yield answer(pd.concat(held))
+
+        sorted_groups = usable.repartition("conflict_id").sortWithinPartitions("conflict_id", "ord")
+        resolved = sorted_groups.mapInPandas(run, RESOLUTION)
         if self.fallback is None:
             return resolved
         return resolved.unionByName(self.fallback.resolve(sized.where(~small).drop("n")))

@@ -69,7 +69,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 GRID = Grid()
 POLICY = TablePolicy(fixtures.synthetic_utility(), GRID)
-SWEEP_METRES = (-1500.0, 0.0, 1500.0)
+SWEEP_METRES = (-1000.0, 1000.0)
 HUB_BOX = 200_001
 STREAM_WINDOW = "5 minutes"
 STREAM_DELAY = "10 minutes"
@@ -571,7 +571,7 @@ def _advisory_output(decoded: DataFrame, *keys: str) -> DataFrame:
 
 
 def policy_sweep_query(spark, sf):
-    """Every group of the data with its first aircraft moved over a 3 x 3 grid."""
+    """Every group of the data with its first aircraft moved over a grid of positions."""
     flights = materialize(_flights(spark, sf))
     firsts = flights.groupBy("conflict_id").agg(F.min("ord").alias("first_ord"))
     swept = policy_sweep(

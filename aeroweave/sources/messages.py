@@ -66,21 +66,21 @@ def write_messages(
     gives one topic per region or client.
     """
     options = dict(options or {})
+    if topic is None and format != "kafka":
+        raise ValueError("per-row topics need the kafka format")
+    if df.isStreaming and not checkpoint:
+        raise ValueError("a streaming sink needs its own checkpoint location")
     out = _envelope(df, topic)
     if format == "kafka":
         if topic is not None:
             options["topic"] = topic
     else:
-        if topic is None:
-            raise ValueError("per-row topics need the kafka format")
         options["path"] = f"{options['path'].rstrip('/')}/{topic}"
         if "timestamp" not in out.columns:
             out = out.withColumn("timestamp", F.current_timestamp())
     if not df.isStreaming:
         out.write.format(format).options(**options).mode("append").save()
         return None
-    if not checkpoint:
-        raise ValueError("a streaming sink needs its own checkpoint location")
     writer = out.writeStream.format(format).options(**options).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "1 second"}))
