@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 POINT_COLUMNS = ("x", "y", "bearing", "v_own", "v_int")
 
@@ -12,7 +13,8 @@ SLICE_ROWS = 1024
 def vertices(points: np.ndarray, cuts: tuple[tuple[float, ...], ...]) -> tuple[np.ndarray, np.ndarray]:
     """Index and weight of the 2^d corners around each point, shapes ``(2^d, n)``.
 
-    A coordinate on a cut, or clamped to the edge, gets weight 0 on its second corner.
+    A coordinate on a cut, or clamped to the edge, gets weight 0 on its second corner, which has
+    the index of the first.
     """
     n = len(points)
     index = np.zeros((1, n), dtype=np.int64)
@@ -50,8 +52,22 @@ def utilities(points: np.ndarray, cuts, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def point_matrix(batch) -> np.ndarray:
-    """The five relative-state columns of a pyarrow batch or table as an ``(n, 5)`` matrix."""
-    return np.column_stack(
-        [batch.column(name).to_numpy(zero_copy_only=False) for name in POINT_COLUMNS]
+def point_matrix(batch, names=POINT_COLUMNS) -> np.ndarray:
+    """Coordinate columns of a pyarrow batch or table as a matrix, one row per point."""
+    return np.column_stack([batch.column(name).to_numpy(zero_copy_only=False) for name in names])
+
+
+def vertex_lists(points: np.ndarray, cuts) -> pa.ListArray:
+    """``list<struct<state_idx,w>>`` per point without the doubled corners; null where not finite."""
+    valid = ~np.isnan(points).any(axis=1)
+    index, weight = vertices(np.where(valid[:, None], points, 0.0), cuts)
+    present = np.tile(valid, (1, 1))
+    for dim, axis in enumerate(cuts):
+        single = np.isin(np.clip(points[:, dim], axis[0], axis[-1]), axis)
+        present = np.concatenate([present, present & ~single])
+    kept = present.T
+    offsets = np.concatenate([[0], np.cumsum(kept.sum(axis=1))]).astype(np.int32)
+    structs = pa.StructArray.from_arrays(
+        [pa.array(index.T[kept].astype(np.int32)), pa.array(weight.T[kept])], ["state_idx", "w"]
     )
+    return pa.ListArray.from_arrays(pa.array(offsets), structs, mask=pa.array(~valid))

@@ -14,6 +14,7 @@ from .trajectory import (
 )
 from .utility import (
     best_response,
+    grid_vertices,
     joint_utility,
     pair_belief,
     pair_utility,
@@ -29,6 +30,7 @@ __all__ = [
     "encode_advisories",
     "encode_status",
     "filter_multi",
+    "grid_vertices",
     "group_sizes",
     "in_range_pairs",
     "is_terminal",

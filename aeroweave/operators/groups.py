@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import advisory_struct, flight_record, status_json
+from ..session import materialize
 
 
 def group_sizes(flights: DataFrame) -> DataFrame:
@@ -26,9 +27,14 @@ def filter_multi(flights: DataFrame, keep_size: bool = False) -> DataFrame:
 
 
 def _parts(df: DataFrame, max_records: int) -> DataFrame:
-    """Add ``part`` and ``n_parts`` so that a part holds about ``max_records`` rows of its group."""
+    """Add ``part`` and ``n_parts`` so that a part holds about ``max_records`` rows of its group.
+
+    The rows are written to the checkpoint folder first: they are counted and then encoded, and
+    what produced them should not run twice.
+    """
     if "ord" not in df.columns:
         df = df.withColumn("ord", F.col("flight_id"))
+    df = materialize(df)
     n_parts = F.ceil(F.col("n") / F.lit(max_records)).cast("int")
     sized = df.join(group_sizes(df), "conflict_id").withColumn("n_parts", n_parts).drop("n")
     part = F.pmod(F.xxhash64("flight_id", "ord"), F.col("n_parts")).cast("int")

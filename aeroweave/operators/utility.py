@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.grid import Grid
-from ..functions.kernel import POINT_COLUMNS, point_matrix, utilities
+from ..functions.kernel import POINT_COLUMNS, point_matrix, utilities, vertex_lists
 from ..schemas import (
     CLEAR_INDEX,
     N_ACTIONS,
@@ -19,13 +19,34 @@ from ..schemas import (
     PAIR_KEYS,
     TERMINAL_ADVISORY_UTILITY,
     TERMINAL_CLEAR_UTILITY,
+    VERTICES,
 )
 from .groups import filter_multi
 
 
+def grid_vertices(df: DataFrame, coords: Sequence[str], grid: Grid) -> DataFrame:
+    """Add ``vertices array<struct<state_idx,w>>``: the grid points around each row's point.
+
+    Whole Arrow batches at a time, for grids of any dimension; the expression of
+    :meth:`Grid.interpolants` gives the same for grids of few axes.
+    """
+    cuts, names = grid.cuts, list(coords)
+    schema = T.StructType([*df.schema.fields, T.StructField("vertices", VERTICES)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = vertex_lists(point_matrix(batch, names), cuts)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, lists], [*batch.schema.names, "vertices"]
+                )
+
+    return df.mapInArrow(run, schema)
+
+
 def pair_belief(pairs: DataFrame, grid: Grid = Grid()) -> DataFrame:
     """Add ``vertices``: the grid states, with weights, that a relative state lies between."""
-    return pairs.withColumn("vertices", grid.interpolants([F.col(c) for c in POINT_COLUMNS]))
+    return grid_vertices(pairs, POINT_COLUMNS, grid)
 
 
 def _kept(pairs: DataFrame) -> list[str]:
@@ -174,6 +195,7 @@ __all__ = [
     "best_response",
     "clear_utility",
     "fold_terminal",
+    "grid_vertices",
     "joint_utility",
     "pair_belief",
     "pair_utility",

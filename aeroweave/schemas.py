@@ -42,7 +42,11 @@ TWO_PI = 2.0 * math.pi
 RANGE_RADIUS_M = RANGE_LIMIT_M * math.sqrt(2.0)
 
 PAIR_KEYS = ("conflict_id", "own_id", "own_ord", "intr_id", "intr_ord")
-VERTEX_TYPE = "array<struct<state_idx:int,w:double>>"
+VERTICES = T.ArrayType(
+    T.StructType(
+        [T.StructField("state_idx", T.IntegerType()), T.StructField("w", T.DoubleType())]
+    )
+)
 
 MESSAGE = T.StructType(
     [

@@ -10,19 +10,28 @@ from ..schemas import STATUS
 _NUMERIC = ("lat", "lon", "speed", "heading")
 
 
-def number(text: Column) -> Column:
-    """Finite double or NULL; malformed text, NaN and infinities never reach the grid."""
-    value = text.try_cast("double")
+def finite(value: Column) -> Column:
+    """The double itself, or NULL for NaN and infinities, which must never reach the grid."""
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
 
 
+def number(text: Column) -> Column:
+    """Finite double or NULL for text that holds none."""
+    return finite(text.try_cast("double"))
+
+
 def _parse(df: DataFrame, col: str) -> DataFrame:
-    status = F.from_json(F.col(col), STATUS)
-    parsed = df.withColumn("_status", status)
-    parsed = parsed.withColumn("flight_id", F.col("_status.flightId"))
-    for name in _NUMERIC:
-        parsed = parsed.withColumn(name, number(F.col(f"_status.{name}")))
-    return parsed.drop("_status")
+    # a generator evaluates its input once, a plain projection would parse once per field
+    fields = F.inline(
+        F.transform(
+            F.array(F.from_json(F.col(col), STATUS)),
+            lambda s: F.struct(
+                s["flightId"].alias("flight_id"),
+                *[s[name].try_cast("double").alias(name) for name in _NUMERIC],
+            ),
+        )
+    )
+    return df.select("*", fields).withColumns({name: finite(F.col(name)) for name in _NUMERIC})
 
 
 def _valid() -> Column:

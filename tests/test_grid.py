@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from aeroweave.functions import Grid
 from aeroweave.functions.kernel import utilities, vertices
+from aeroweave.operators import grid_vertices
 from aeroweave.schemas import ENCOUNTER_CUTS
 from brute import corners
 
@@ -128,6 +129,8 @@ def test_expression_kernel_and_brute_force_agree(spark):
         {v.state_idx: v.w for v in r.v} for r in df.select(vertices_column.alias("v")).collect()
     ]
     index, weight = vertices(np.array(EDGES), ENCOUNTER_CUTS)
+    rows = grid_vertices(df, df.columns, grid).collect()
+    assert [[tuple(v) for v in r.vertices] for r in rows] == [list(g.items()) for g in got]
     for k, point in enumerate(EDGES):
         want = dict(corners(point))
         assert got[k] == pytest.approx(want)
@@ -137,6 +140,13 @@ def test_expression_kernel_and_brute_force_agree(spark):
         assert {int(i): dense[i] for i in np.flatnonzero(dense)} == pytest.approx(want)
 
 
+def test_points_that_are_not_numbers_have_no_vertices(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (None, 0.5), (float("nan"), 0.5)], "a double, b double")
+    got = grid_vertices(df, ["a", "b"], Grid(((0.0, 2.0), (0.0, 1.0)))).collect()
+    assert [r.vertices is None for r in got] == [False, True, True]
+    assert [tuple(v) for v in got[0].vertices] == [(0, 0.25), (1, 0.25), (2, 0.25), (3, 0.25)]
+
+
 def test_kernel_slices_match_one_by_one():
     rng = np.random.default_rng(3)
     points = np.column_stack([rng.uniform(-2500, 2500, (3000, 2)), rng.uniform(-7, 7, 3000), rng.uniform(5, 25, (3000, 2))])
