@@ -178,7 +178,7 @@ def in_range_pairs(
 
 
 def _pairs(flights: DataFrame, hot: DataFrame | None, wrap_bearing: bool = False) -> DataFrame:
-    """:func:`in_range_pairs` on states that need no preparation."""
+    """:func:`in_range_pairs` on states that need no preparation; other columns go along."""
     columns = [c for c in flights.columns if c != "conflict_id"]
 
     def side(own: str, intr: str) -> Column:
@@ -193,7 +193,39 @@ def _pairs(flights: DataFrame, hot: DataFrame | None, wrap_bearing: bool = False
     )
     pairs = relative_state(both, wrap_bearing).where(~is_terminal(F.col("x"), F.col("y")))
     keys = [k for k in PAIR_KEYS if k in pairs.columns]
-    return pairs.select(*keys, "x", "y", "bearing", "v_own", "v_int")
+    more = [c for c in columns if c not in ("flight_id", "ord", *_STATE)]
+    return pairs.select(
+        *keys, "x", "y", "bearing", "v_own", "v_int", *[f"{p}_{c}" for c in more for p in ("own", "intr")]
+    )
+
+
+def distinct_state_pairs(flights: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs between distinct states, for results that copies of a state share.
+
+    Returns ``states`` (one row per state of a group, with ``copies`` and the smallest ``ord`` as
+    its name) and ``pairs`` between them with the number of intruders that each pair stands for.
+    Aircraft at one and the same state are counted before the shuffle, so any number of copies
+    costs one row and one pair with itself.
+    """
+    states = materialize(
+        flights.groupBy("conflict_id", *_STATE).agg(
+            F.count("*").alias("copies"), F.min("ord").alias("ord")
+        )
+    )
+    others = _pairs(states, hot_cells(states, block_rows)).withColumnRenamed("intr_copies", "intruders")
+    zero = F.lit(0.0)
+    among_copies = states.where("copies > 1").select(
+        "conflict_id",
+        F.col("ord").alias("own_ord"),
+        F.col("ord").alias("intr_ord"),
+        zero.alias("x"),
+        zero.alias("y"),
+        zero.alias("bearing"),
+        F.col("speed").alias("v_own"),
+        F.col("speed").alias("v_int"),
+        (F.col("copies") - 1).alias("intruders"),
+    )
+    return states, others.drop("own_copies").unionByName(among_copies)
 
 
 def pairs_within(flights: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

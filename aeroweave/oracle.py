@@ -279,6 +279,31 @@ def _noise(expr_key: str, label: str, start: int) -> str:
     )
 
 
+def _gaussian(key: str, label: str, sd: str) -> str:
+    return (
+        f"({sd} * sqrt(-2 * ln({_noise(key, label, 1)})) * cos(2 * pi() * {_noise(key, label, 14)}))"
+    )
+
+
+_STEP_KEY = "conflict_id || '|' || flight_id || '|' || (step + 1)"
+NOISY_PATH = f"""path AS (
+  SELECT conflict_id, flight_id, 0 AS step, {", ".join(_STATE)}, clear_of_conflict, turn_rate FROM advised
+  UNION ALL
+  SELECT conflict_id, flight_id, step + 1, lat + d_lat, lon + d_lon, {_wrap('heading + d_heading')},
+    speed + d_speed, clear_of_conflict, turn_rate
+  FROM (
+    SELECT conflict_id, flight_id, step, {_moved('5', 'rate')}, clear_of_conflict, turn_rate,
+      d_lat, d_lon, d_heading, d_speed
+    FROM (
+      SELECT *, CASE WHEN clear_of_conflict IS NULL OR clear_of_conflict
+          THEN radians(5) * {_noise(_STEP_KEY, 'turn_clear', 1)}
+          ELSE coalesce(turn_rate, 0) + {_gaussian(_STEP_KEY, 'turn_conflict', 'radians(1)')} END AS rate,
+        {_gaussian(_STEP_KEY, 'lat', '10')} AS d_lat, {_gaussian(_STEP_KEY, 'lon', '10')} AS d_lon,
+        {_gaussian(_STEP_KEY, 'heading', 'radians(10)')} AS d_heading,
+        {_gaussian(_STEP_KEY, 'speed', '1')} AS d_speed
+      FROM path WHERE step < 10)))"""
+
+
 POINTS = """points AS (
   SELECT seq AS event_id, seq AS pid,
     CASE WHEN seq % 5 = 0 THEN lat - CAST(CAST(lat AS BIGINT) % 400 AS DOUBLE) ELSE lat / 1.1::DOUBLE END AS x,
@@ -498,6 +523,10 @@ FROM (SELECT conflict_id, flight_id, {_moved('5', _RATE)} FROM advised)""",
         )
     )
     + f"\nSELECT conflict_id, flight_id, step, {_ROUNDED_STATE} FROM path WHERE step > 0",
+    "rollout_noise": "WITH RECURSIVE "
+    + ",\n".join((*ADVISED_CTES, NOISY_PATH))
+    + f"""\nSELECT conflict_id, flight_id, step, {", ".join(f"{_r(c, 3)} AS {c}" for c in _STATE)}
+FROM path WHERE step > 0""",
     "with_noise": _with(REPORTS)
     + f"""SELECT seq AS event_id, {_r(
         f"lat + 10 * sqrt(-2 * ln({_noise('seq', 'lat', 1)})) * cos(2 * pi() * {_noise('seq', 'lat', 14)})"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grid import Grid
+from ..functions.kernel import POINT_COLUMNS
 from ..operators.groups import filter_multi
 from ..operators.utility import clear_utility, pair_belief, pair_utility, pair_utility_by_join
 from ..schemas import BANK_ANGLES, FLIGHT_STATE, RESOLUTION
@@ -107,7 +108,10 @@ class TablePolicy:
         spark = pairs.sparkSession
         if self.broadcastable:
             return pair_utility(pairs, self.table(spark), self.grid)
-        return pair_utility_by_join(pair_belief(pairs, self.grid), self.frame(spark), self.n_joint)
+        keys = tuple(c for c in pairs.columns if c not in POINT_COLUMNS)
+        return pair_utility_by_join(
+            pair_belief(pairs, self.grid), self.frame(spark), self.n_joint, keys
+        )
 
     def pair_clear(self, pairs: DataFrame) -> DataFrame:
         """Utilities ``u0..`` per in-range pair while the intruder is clear of conflict."""
@@ -115,7 +119,7 @@ class TablePolicy:
         if self.broadcastable:
             lean = pairs.drop("own_id", "intr_id", "intr_ord")
             return clear_utility(lean, self.table(pairs.sparkSession), self.grid, n)
-        keep = [c for c in pairs.columns if c not in ("x", "y", "bearing", "v_own", "v_int")]
+        keep = [c for c in pairs.columns if c not in POINT_COLUMNS]
         q = self.pair_q(pairs)
         return q.select(
             *keep, *[F.get("q", F.lit(a * n + n - 1)).alias(f"u{a}") for a in range(n)]

@@ -692,7 +692,7 @@ def rollout_noise_query(spark, sf):
         seed=123456, keys=("conflict_id", "flight_id"),
     )
     path = rollout(_advised(spark, sf), steps=10, dt=5.0, noise=noise)
-    return _rounded(path, *_STATE).select("conflict_id", "flight_id", "step", *_STATE)
+    return path.select("conflict_id", "flight_id", "step", *[_r(c, 3).alias(c) for c in _STATE])
 
 
 def with_noise_query(spark, sf):

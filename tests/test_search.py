@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from aeroweave.fixtures import synthetic_utility
 from aeroweave.functions.angles import joint_action_index
 from aeroweave.operators import best_response, in_range_pairs, pair_belief, pair_utility_by_join, worst_case
+from aeroweave.operators.pairs import distinct_state_pairs
 from aeroweave.plans import FunctionPolicy, Policy, TablePolicy, maxmin, policy_sweep, resolve_conflicts
 from aeroweave.plans import policy as policy_module
 from aeroweave.plans import resolve as resolve_module
@@ -139,6 +140,23 @@ def test_maxmin_equals_composed_operators(spark, make_flights, policy, scenario)
         assert got[key][0] == direct[key][0] and got[key][1] == pytest.approx(direct[key][1], abs=1e-12)
 
 
+def test_copies_of_a_state_are_collapsed(make_flights, policy, monkeypatch):
+    """A crowd at one state costs one pair; the answers equal those of the full pair list."""
+    rng = random.Random(4)
+    rows = random_group(rng, "g", 25, 3000) + [("g", 10.0, -20.0, 1.0, 12.0)] * 60
+    rows += [("h", 5.0, 5.0, 1.0, 15.0)] * 3 + [("g", 9000.0, 9000.0, 1.0, 12.0)] * 2
+    flights = make_flights(rows)
+    want = {(r.conflict_id, r.ord): r.utils for r in maxmin(flights, policy).collect()}
+    got = {(r.conflict_id, r.ord): r.utils for r in maxmin(flights, policy, block_rows=20).collect()}
+    assert got == want and len(got) == len(rows)
+    states, pairs = distinct_state_pairs(flights, 20)
+    assert states.count() == 28 and pairs.count() < 28 * 28
+    full = in_range_pairs(flights)
+    assert pairs.join(states.withColumnRenamed("ord", "own_ord"), ["conflict_id", "own_ord"]).selectExpr(
+        "sum(intruders * copies)"
+    ).first()[0] == full.count()
+
+
 def test_first_action_wins_ties(spark):
     df = spark.createDataFrame([([-0.5, -0.25, -0.25, -1.0, -0.25, -0.5],)], "utils array<double>")
     r = best_response(df).first()
