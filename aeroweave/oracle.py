@@ -360,6 +360,24 @@ flights AS (
     heading, speed, conflict_id AS scenario_id, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy
   FROM base, range({len(SWEEP_METRES)}) a(ix), range({len(SWEEP_METRES)}) b(iy))"""
 
+_CODED = _with(
+    REPORTS,
+    f"""coded AS (SELECT seq AS event_id, heading, CASE WHEN seq % 50 = 0 THEN 0 ELSE speed END AS speed,
+  seq % {N_ACTIONS} AS own, seq * 7 % {N_ACTIONS} AS intr FROM reports)""",
+    f"valued AS (SELECT *, {_BANKS}[own + 1] AS bank FROM coded)",
+)
+_SCALARS = {
+    "joint_idx": f"CAST(own * {N_ACTIONS} + intr AS INTEGER)",
+    "bank": _r("bank", 9),
+    "turn_rate": _r(_turn("bank", "speed"), 9),
+    "wrapped": _r(_wrap("heading * 3 - 9"), 9),
+}
+
+
+def _scalar(*names: str) -> str:
+    return _CODED + f"SELECT event_id, {', '.join(f'{_SCALARS[n]} AS {n}' for n in names)} FROM valued"
+
+
 ORACLES: dict[str, str] = {
     "latest_state": _with(REPORTS, FLIGHTS)
     + f"""SELECT conflict_id, flight_id, ord, lat, lon, {_r('heading')} AS heading, {_r('speed')} AS speed,
@@ -424,14 +442,11 @@ FROM orders WHERE o_orderkey % 11 <> 0""",
   CAST((event_id * 37 + {(N_JOINT - 1) * 101}) % 1024 AS DOUBLE) / 1024 - 1 AS u_last,
   {_r(f"list_sum(list_transform(range({N_JOINT}), lambda j: CAST((event_id * 37 + j * 101) % 1024 AS DOUBLE) / 1024 - 1))")}
     AS u_sum FROM events""",
-    "scalar_functions": _with(
-        REPORTS,
-        f"""coded AS (SELECT seq AS event_id, heading, CASE WHEN seq % 50 = 0 THEN 0 ELSE speed END AS speed,
-  seq % {N_ACTIONS} AS own, seq * 7 % {N_ACTIONS} AS intr FROM reports)""",
-        f"valued AS (SELECT *, {_BANKS}[own + 1] AS bank FROM coded)",
-    )
-    + f"""SELECT event_id, CAST(own * {N_ACTIONS} + intr AS INTEGER) AS joint_idx, {_r('bank', 9)} AS bank,
-  {_r(_turn('bank', 'speed'), 9)} AS turn_rate, {_r(_wrap('heading * 3 - 9'), 9)} AS wrapped FROM valued""",
+    "scalar_functions": _scalar(*_SCALARS),
+    "joint_action_index": _scalar("joint_idx"),
+    "action_value": _scalar("bank"),
+    "turn_rate": _scalar("turn_rate"),
+    "wrap_angle": _scalar("wrapped"),
     "grid_bracket": _with(REPORTS, POINTS) + f"SELECT event_id, {_bracket_columns()} FROM points p",
     "grid_interpolants": _with(REPORTS, POINTS, AXES, _vertices("points", "event_id"))
     + f"SELECT event_id, state_idx, {_r('w')} AS w FROM vertices",
@@ -439,6 +454,9 @@ FROM orders WHERE o_orderkey % 11 <> 0""",
     + f"SELECT event_id, {_r(_interpolated())} AS value FROM points p",
     "grid_decode": f"""SELECT event_id, CAST(idx AS INTEGER) AS state_idx, {_decoded()}
 FROM (SELECT event_id, event_id * 31 % {_GRID_SIZE + 7} - 3 AS idx FROM events)""",
+    "grid_points": f"""SELECT event_id, CAST(idx AS INTEGER) AS state_idx, {_decoded()}
+FROM (SELECT event_id, event_id * 31 % {_GRID_SIZE + 7} - 3 AS idx FROM events)
+WHERE idx >= 0 AND idx < {_GRID_SIZE}""",
     "ordered_pairs": _with(REPORTS, FLIGHTS, ROSTER, ALL_PAIRS)
     + """SELECT conflict_id, own_id AS flight_id, own_ord AS ord, count(*) AS n_pairs,
   count(*) FILTER (NOT terminal) AS n_in_range, count(*) FILTER (terminal) AS n_terminal
@@ -468,6 +486,8 @@ FROM all_pairs WHERE NOT terminal""",
     + f"SELECT conflict_id, flight_id, ord, {_UTILS} FROM worst",
     "best_response": _with(*CLEAR_BEST)
     + f"SELECT conflict_id, flight_id, ord, {_UTILS}, action_idx, {_r('util')} AS util FROM best",
+    "maxmin": _with(_reports(HUB_BOX), HUB, *CLEAR_BEST[2:])
+    + f"SELECT conflict_id, ord, action_idx, {_r('util')} AS util FROM best",
     "joint_utility": _with(*CLEAR_BEST)
     + f"SELECT conflict_id, {_r('sum(util)')} AS joint_util, count(*) AS n_aircraft FROM best GROUP BY ALL",
     "resolve_conflicts": RESOLVE

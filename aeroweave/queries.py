@@ -378,6 +378,22 @@ def scalar_functions_query(spark, sf):
     )
 
 
+def joint_action_index_query(spark, sf):
+    return scalar_functions_query(spark, sf).select("event_id", "joint_idx")
+
+
+def action_value_query(spark, sf):
+    return scalar_functions_query(spark, sf).select("event_id", "bank")
+
+
+def turn_rate_query(spark, sf):
+    return scalar_functions_query(spark, sf).select("event_id", "turn_rate")
+
+
+def wrap_angle_query(spark, sf):
+    return scalar_functions_query(spark, sf).select("event_id", "wrapped")
+
+
 # --- grid --------------------------------------------------------------------------------------
 
 
@@ -434,6 +450,15 @@ def grid_decode_query(spark, sf):
     )
 
 
+def grid_points_query(spark, sf):
+    """Each report with the grid point that its number names, from the table of all points."""
+    idx = (F.col("event_id") * 31 % (GRID.length + 7) - 3).cast("int")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", idx.alias("state_idx"))
+    return rows.join(GRID.points(spark), "state_idx").select(
+        "event_id", "state_idx", *[F.get("point", F.lit(d)).alias(f"c{d}") for d in range(5)]
+    )
+
+
 # --- pairs -------------------------------------------------------------------------------------
 
 
@@ -518,6 +543,12 @@ def best_response_query(spark, sf):
     )
 
 
+def maxmin_query(spark, sf):
+    """Best response where a third of all aircraft share one conflict group."""
+    best = maxmin(fixtures.one_airspace(spark, sf, HUB_BOX), POLICY)
+    return best.select("conflict_id", "ord", "action_idx", _r("util").alias("util"))
+
+
 def joint_utility_query(spark, sf):
     flights, q = _pair_q(spark, sf)
     return _rounded(joint_utility(best_response(worst_case(flights, q))), "joint_util")

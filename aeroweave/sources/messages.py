@@ -19,14 +19,15 @@ def _source(reader, topic: str, format: str, options: dict[str, str] | None) ->
             F.col("value").cast("string").alias("value"),
             "timestamp",
         )
-    path = f"{options.pop('path').rstrip('/')}/{topic}"
+    folders = f"{{{topic}}}" if "," in topic else topic
+    path = f"{options.pop('path').rstrip('/')}/{folders}"
     return reader.format(format).schema(MESSAGE).options(**options).load(path)
 
 
 def read_stream(
     spark: SparkSession, topic: str, format: str = "kafka", options: dict[str, str] | None = None
 ) -> DataFrame:
-    """Unbounded messages of one topic, or of several separated by commas on Kafka.
+    """Unbounded messages of one topic, or of several separated by commas.
 
     ``kafka`` takes the broker options as they are, and a message without a key is named by its
     offset; a file format takes ``path``, below which every topic is a folder.

@@ -242,6 +242,8 @@ def test_messages_to_files_and_back(spark):
     write_messages(df, "t", "json", {"path": root})
     got = read_messages(spark, "t", "json", {"path": root}).first()
     assert (got.key, got.value) == ("k", "v") and got.timestamp is not None
+    write_messages(df, "u", "json", {"path": root})
+    assert read_messages(spark, "t,u", "json", {"path": root}).count() == 2
     with pytest.raises(ValueError):
         write_messages(df, None, "json", {"path": root})
 
