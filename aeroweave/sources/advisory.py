@@ -59,5 +59,5 @@ def advisory_rejects(df: DataFrame, col: str = "value") -> DataFrame:
 def decode_advisory(df: DataFrame, col: str = "value") -> DataFrame:
     """One row per message that holds a single bare advisory."""
     rest = [c for c in df.columns if c != col]
-    parsed = df.select(*rest, F.from_json(col, ADVISORY).alias("_a"))
+    parsed = df.select(*rest, F.explode(F.array(F.from_json(col, ADVISORY))).alias("_a"))
     return _flatten(parsed, rest, "_a").where(_valid()).drop("_adv")

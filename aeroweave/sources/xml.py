@@ -73,8 +73,9 @@ def _message_columns() -> list[Column]:
 
 def _decode(df: DataFrame, col: str, schema: T.StructType, columns: list[Column]) -> DataFrame:
     rest = [c for c in df.columns if c != col]
-    parsed = df.select(*rest, F.from_xml(F.col(col), schema).alias("_x"))
-    return parsed.select(*rest, "_x.*").select(*rest, *columns)
+    # a generator evaluates its input once, a plain projection would parse once per field
+    parsed = df.select(*rest, F.inline(F.array(F.from_xml(F.col(col), schema))))
+    return parsed.select(*rest, *columns)
 
 
 def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
