@@ -83,7 +83,7 @@ def frequent_shingles(docs: DataFrame, width: int, share: float = FREQUENT) -> t
 def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One lean row per document: size, digest, prefix hash, prefix and sketch."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
-    names = ["doc_id", "n", "d1", "d2", "g", "prefix", *(f"s{i}" for i in range(_SKETCH_LONGS))]
+    names = ["doc_id", "n", "d1", "d2", "g", "prefix", *(f"s{i}" for i in range(_SKETCH_LONGS)), "wide"]
 
     def describe(batches):
         value, count = frequent.value
@@ -105,6 +105,11 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 bit = row * 64 * _SKETCH_LONGS + (W.mix(hashed) >> _U(64 - 9)).astype(np.int64)
                 odd = (np.bincount(bit, minlength=m * 64 * _SKETCH_LONGS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd, bitorder="little").view(np.int64).reshape(m, _SKETCH_LONGS)
+                width_bits = 2 ** np.maximum(np.ceil(np.log2(np.maximum(n, 1))), 9).astype(np.int64)
+                edge = np.concatenate([[0], np.cumsum(width_bits)])
+                bit = edge[row] + (W.mix(hashed) & (width_bits[row] - 1).astype(np.uint64)).astype(np.int64)
+                odd = (np.bincount(bit, minlength=edge[-1]) & 1).astype(np.uint8)
+                wide = pa.array(np.packbits(odd, bitorder="little").view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, m),
@@ -116,23 +121,49 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                             pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashed[lead].view(np.int64))
                         ),
                         *(pa.array(sketch[:, i].copy()) for i in range(_SKETCH_LONGS)),
+                        pa.ListArray.from_arrays(pa.array((edge // 64).astype(np.int32)), wide),
                     ],
                     names,
                 )
 
-    return docs.mapInArrow(describe, f"{_LEAN}, prefix array<bigint>, {_SKETCH}")
+    return docs.mapInArrow(describe, f"{_LEAN}, prefix array<bigint>, {_SKETCH}, wide array<bigint>")
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Bounds that every linked pair meets: set sizes, and set differences that the parity sketches prove."""
+    difference = " + ".join(f"bit_count({x}.s{i} ^ {y}.s{i})" for i in range(_SKETCH_LONGS))
+    return F.expr(
+        f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+        f" and ({difference}) * {100 + percent} <= ({x}.n + {y}.n) * {100 - percent}"
+    )
+
+
+def _screened(pairs: DataFrame, facts: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that sketches of one bit per shingle do not rule out.
+
+    The sketch of the longer set is folded to the length of the other; folding keeps the bound.
+    """
+    wide = facts.join(
+        classes.select(F.col("cls").alias("doc_id"), "d1", "d2", "n"), ["doc_id", "d1", "d2", "n"], "left_semi"
+    ).select(F.col("doc_id").alias("cls"), "n", "wide")
+    both = (
+        stored(pairs, "pairs")
+        .join(wide.alias("x"), F.col("a") == F.col("x.cls"))
+        .join(wide.alias("y"), F.col("b") == F.col("y.cls"))
+    )
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, 1 + size({1}), size({1})), (p, q) -> p ^ q), {0})"
+    both = both.select("a", "b", F.expr("x.n + y.n").alias("n"), F.expr(fold.format("x.wide", "y.wide")).alias("p"), F.expr(fold.format("y.wide", "x.wide")).alias("q"))
+    differ = "aggregate(zip_with(p, q, (u, v) -> bit_count(u ^ v)), 0, (t, u) -> t + u)"
+    return both.where(F.expr(f"size(p) <> size(q) or {differ} * {100 + percent} <= n * {100 - percent}")).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts link: exact set sizes and intersection.
 
-    Where a key has several texts, the one with the smallest digest speaks for it.
+    Where a key has several texts, the one with the smallest digest speaks for it. The pairs are written
+    first, so Spark knows their size and moves the texts only where the pairs are too many to send around.
     """
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b")
+    sides = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id"), "a", "b"), "pairs")
     met = (
         sides.join(docs, "doc_id")
         .groupBy("a", "b")
@@ -175,8 +206,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     facts = stored(_describe(docs, width, percent), "facts")
-    lean = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "g")).alias("k")).select("doc_id", "k.*")
-    classes = lean.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("cls"), F.first("g").alias("g"))
+    sketch = [f"s{i}" for i in range(_SKETCH_LONGS)]
+    lean = (
+        facts.where("doc_id is not null")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("d1", "d2", "n", "g", *sketch)).alias("k"))
+        .select("doc_id", "k.*")
+    )
+    classes = lean.where("n > 0").groupBy("d1", "d2", "n").agg(
+        F.min("doc_id").alias("cls"), F.first("g").alias("g"), *(F.first(c).alias(c) for c in sketch)
+    )
     groups = classes.groupBy("n", "g").agg(F.min("cls").alias("gid"))
     classes = stored(classes.join(groups, ["n", "g"]), "classes")
 
@@ -202,37 +241,45 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .select((-F.col("best.p")).alias("a"), F.col("gid").alias("b"))
     )
     inner = classes.where("cls <> gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
-    searched = tokens.select("gid").distinct().join(classes.select("gid", "cls"), "gid").select(F.col("cls").alias("doc_id"))
-    several = inner.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = stored(docs.join(searched.union(several).distinct(), "doc_id", "left_semi"), "texts")
-    links = stored(verified(near.unionByName(inner), texts, width, percent), "links")
-    known = connected_components(links)
+    sized = classes.select("cls", "n", *sketch)
+    near = (
+        near.unionByName(inner)
+        .join(sized.alias("x"), F.col("a") == F.col("x.cls"))
+        .join(sized.alias("y"), F.col("b") == F.col("y.cls"))
+        .where(_may_link("x", "y", percent))
+        .select("a", "b")
+    )
+    near = _screened(near, facts, classes, percent)
+    known = connected_components(verified(near, docs, width, percent))
 
     # lists that still hold several components: pairs across them
     placed = classes.join(known.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "gid", "n", F.coalesce("component", "cls").alias("comp")
+        "cls", "gid", "n", F.coalesce("component", "cls").alias("comp"), *sketch
     )
     several = inner.select(F.col("a").alias("gid")).distinct()
-    entries = tokens.select("tok", "gid").unionByName(
+    listed = tokens.select("tok", "gid").unionByName(
         # the members of a group share its whole prefix; the group itself is one more list
         several.select(F.xxhash64(F.lit("group"), "gid").alias("tok"), "gid")
-    ).join(placed, "gid")
-    mixed = entries.groupBy("tok").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("top")).where("low < high").select("tok", "top")
-    sketches = facts.select(F.col("doc_id").alias("cls"), "d1", "d2", "n", *(f"s{i}" for i in range(_SKETCH_LONGS))).join(
-        classes.select("cls", "d1", "d2", "n"), ["cls", "d1", "d2", "n"], "left_semi"
-    ).drop("d1", "d2", "n").distinct()
-    entries = stored(entries.join(mixed, "tok").join(sketches, "cls"), "entries")
-    difference = " + ".join(f"bit_count(x.s{i} ^ y.s{i})" for i in range(_SKETCH_LONGS))
-    may_link = (
-        F.expr("x.tok = y.tok and x.comp <> y.comp and (y.comp = y.top or x.cls < y.cls)")
-        & _sizes_fit("x.n", "y.n", percent)
-        & F.expr(f"({difference}) * {100 + percent} <= (x.n + y.n) * {100 - percent}")
     )
+    mixed = (
+        listed.join(placed.select("gid", "comp"), "gid")
+        .groupBy("tok")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("top"))
+        .where("low < high")
+        .select("tok", "top")
+    )
+    entries = stored(listed.join(mixed, "tok").join(placed, "gid"), "entries")
     pairs = (
-        entries.where("comp <> top").alias("x").join(entries.alias("y"), may_link)
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        entries.where("comp <> top")
+        .alias("x")
+        .join(
+            entries.alias("y"),
+            F.expr("x.tok = y.tok and x.comp <> y.comp and (y.comp = y.top or x.cls < y.cls)") & _may_link("x", "y", percent),
+        )
+        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+        .distinct()
     )
-    more = verified(pairs, texts, width, percent)
+    more = verified(_screened(pairs, facts, classes, percent), docs, width, percent)
     final = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     found = (
