@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.codec import advisory_struct, flight_record, status_json
@@ -27,18 +28,39 @@ def filter_multi(flights: DataFrame, keep_size: bool = False) -> DataFrame:
 
 
 def _parts(df: DataFrame, max_records: int) -> DataFrame:
-    """Add ``part`` and ``n_parts`` so that a part holds about ``max_records`` rows of its group.
+    """Add ``part``, ``n_parts`` and ``first`` so that a part is a run of up to ``max_records`` rows of its group.
 
-    The rows are written to the checkpoint folder first: they are counted and then encoded, and
-    what produced them should not run twice.
+    Parts follow the order of the group, and ``first`` is the position of a part's first row, so the whole order can be
+    put together again. Only groups above the limit are ranked, range by range. The rows are written to the
+    checkpoint folder first: they are counted and then encoded, and what produced them should not run twice.
     """
     if "ord" not in df.columns:
         df = df.withColumn("ord", F.col("flight_id"))
     df = materialize(df)
-    n_parts = F.ceil(F.col("n") / F.lit(max_records)).cast("int")
-    sized = df.join(group_sizes(df), "conflict_id").withColumn("n_parts", n_parts).drop("n")
-    part = F.pmod(F.xxhash64("flight_id", "ord"), F.col("n_parts")).cast("int")
-    return sized.withColumn("part", part)
+    sizes = group_sizes(df)
+    largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if largest <= max_records:
+        return df.withColumns({"part": F.lit(0), "n_parts": F.lit(1), "first": F.lit(0).cast("bigint")})
+    sized = df.join(sizes, "conflict_id")
+    ranged = materialize(
+        sized.where(F.col("n") > max_records)
+        .repartitionByRange(F.col("conflict_id"), F.col("ord"))
+        .withColumn("_range", F.spark_partition_id())
+    )
+    order = W.partitionBy("conflict_id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = ranged.groupBy("conflict_id", "_range").agg(F.count("*").alias("_m"))
+    before = before.select("conflict_id", "_range", F.coalesce(F.sum("_m").over(order), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("conflict_id", "_range").orderBy("ord"))
+    rank = inside - 1 + F.col("_before")
+    part = F.floor(rank / max_records).cast("int")
+    ranked = ranged.join(before, ["conflict_id", "_range"]).withColumn("part", part)
+    large = ranked.withColumn("n_parts", F.ceil(F.col("n") / F.lit(max_records)).cast("int")).select(
+        *df.columns, "part", "n_parts", (F.col("part") * F.lit(max_records)).cast("bigint").alias("first")
+    )
+    whole = sized.where(F.col("n") <= max_records).select(
+        *df.columns, F.lit(0).alias("part"), F.lit(1).alias("n_parts"), F.lit(0).cast("bigint").alias("first")
+    )
+    return whole.unionByName(large)
 
 
 def _ordered(payload: Column) -> Column:
@@ -47,16 +69,17 @@ def _ordered(payload: Column) -> Column:
 
 
 def assemble_conflict(flights: DataFrame, max_records: int = 50_000) -> DataFrame:
-    """One conflict string per group: ``(conflict_id, part, n_parts, value)``.
+    """One conflict string per group: ``(conflict_id, part, n_parts, first, value)``.
 
     Records follow ``ord``, or ``flight_id`` where there is no position.
-    A group beyond ``max_records`` becomes several strings with the same ``conflict_id``; decoding
-    by that key joins them again, so no string grows with the group.
+    A group beyond ``max_records`` becomes several strings, so none grows with the group; ``part_key`` writes
+    into a message key what is needed to put the group together again in its order.
     """
     record = flight_record(*[F.col(c) for c in ("flight_id", "lat", "lon", "heading", "speed")])
     return (
         _parts(flights, max_records)
-        .groupBy("conflict_id", "part", "n_parts")
+        .repartition("conflict_id", "part")
+        .groupBy("conflict_id", "part", "n_parts", "first")
         .agg(F.array_join(_ordered(record), "").alias("value"))
     )
 
@@ -68,7 +91,7 @@ def encode_status(flights: DataFrame) -> DataFrame:
 
 
 def encode_advisories(advisories: DataFrame, max_records: int = 10_000) -> DataFrame:
-    """One advisory JSON per group: ``(conflict_id, part, n_parts, value)``.
+    """One advisory JSON per group: ``(conflict_id, part, n_parts, first, value)``.
 
     A group beyond ``max_records`` becomes several messages; each is complete on its own, and
     decoding all of them gives the same advisories as one.
@@ -85,6 +108,7 @@ def encode_advisories(advisories: DataFrame, max_records: int = 10_000) -> DataF
     )
     return (
         _parts(advisories, max_records)
-        .groupBy("conflict_id", "part", "n_parts")
+        .repartition("conflict_id", "part")
+        .groupBy("conflict_id", "part", "n_parts", "first")
         .agg(F.to_json(F.struct(_ordered(adv).alias("advisories"))).alias("value"))
     )

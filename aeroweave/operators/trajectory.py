@@ -51,15 +51,12 @@ def _straight(lat: Column, lon: Column, heading: Column, speed: Column, dt: Colu
 def _turn(
     lat: Column, lon: Column, heading: Column, speed: Column, dt: Column, rate: Column
 ) -> list[Column]:
-    change = -rate * dt
-    arc = F.abs(F.try_divide(speed, rate)) * F.signum(change)
-    after = heading - change
-    return [
-        lat + arc * (F.sin(heading) - F.sin(after)),
-        lon + arc * (F.cos(after) - F.cos(heading)),
-        after,
-        speed,
-    ]
+    """The velocity integrated over a heading that grows by ``rate`` every second."""
+    reached = heading + rate * dt
+    metres_per_radian = F.try_divide(F.abs(speed), rate)
+    north = F.sin(reached) - F.sin(heading)
+    east = F.cos(heading) - F.cos(reached)
+    return [lat + metres_per_radian * north, lon + metres_per_radian * east, reached, speed]
 
 
 def _move(state: Sequence[Column], dt: Column, rate: Column) -> list[Column]:
@@ -96,8 +93,15 @@ def _column(value: float | Column) -> Column:
 def apply_advisories(
     flights: DataFrame, advisories: DataFrame, on: Sequence[str] = ("flight_id",)
 ) -> DataFrame:
-    """Attach each aircraft's advisory; aircraft without one keep NULLs."""
-    return flights.join(advisories.select(*on, *_ADVISORY), list(on), "left")
+    """Attach each aircraft's advisory; aircraft without one keep NULLs.
+
+    Of several advisories for one aircraft the latest by ``event_ts`` counts where there is such a column, and the
+    largest by value among equals, so no aircraft is multiplied and the choice does not depend on the order of rows.
+    """
+    content = F.struct(*_ADVISORY)
+    newest = F.struct(*([F.col("event_ts")] if "event_ts" in advisories.columns else []), *_ADVISORY)
+    single = advisories.groupBy(*on).agg(F.max_by(content, newest).alias("_advisory")).select(*on, "_advisory.*")
+    return flights.join(single, list(on), "left")
 
 
 def unmatched_advisories(

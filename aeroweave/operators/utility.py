@@ -113,17 +113,22 @@ def pair_utility_by_join(
 ) -> DataFrame:
     """The same ``q`` without Python: vertices joined with the utility table and summed.
 
-    For tables too large to broadcast; Catalyst chooses the join.
+    For tables too large to broadcast; Catalyst chooses the join. A vertex without a row in the table
+    fails the query. A pair's vertices, 32 at most, are added up in their own order.
     """
     if missing := {"conflict_id", "own_ord", "intr_ord"} - set(beliefs.columns):
         raise ValueError(f"pairs are not identified without {sorted(missing)}")
     keys = [k for k in keys if k in beliefs.columns]
-    rows = beliefs.select(*keys, F.explode("vertices").alias("v")).select(
-        *keys, F.col("v.state_idx").alias("state_idx"), F.col("v.w").alias("w")
+    rows = beliefs.select(*keys, F.posexplode("vertices").alias("at", "v")).select(
+        *keys, "at", F.col("v.state_idx").alias("state_idx"), F.col("v.w").alias("w")
     )
-    sums = [F.sum(F.col("w") * F.get("u", F.lit(j))).alias(f"q{j}") for j in range(n_joint)]
-    summed = rows.join(utility, "state_idx").groupBy(*keys).agg(*sums)
-    return summed.select(*keys, F.array(*[F.col(f"q{j}") for j in range(n_joint)]).alias("q"))
+    missing = F.raise_error(F.concat(F.lit("the utility table has no state "), F.col("state_idx").cast("string")))
+    parts = F.when(F.col("u").isNull(), missing).otherwise(F.transform("u", lambda x: x * F.col("w")))
+    met = rows.join(utility, "state_idx", "left").select(*keys, F.struct("at", parts.alias("q")).alias("part"))
+    listed = met.groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    zero = F.array_repeat(F.lit(0.0), n_joint)
+    total = F.aggregate("parts", zero, lambda t, p: F.zip_with(t, p["q"], lambda x, y: x + y))
+    return listed.select(*keys, total.alias("q"))
 
 
 def action_slice(q: Column, intr_action: Column, n_actions: int = N_ACTIONS) -> list[Column]:

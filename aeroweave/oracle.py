@@ -252,16 +252,16 @@ ADVISED_CTES = (*CLEAR_BEST, BANKED, ADVISED)
 
 
 def _step(dt: str, rate: str) -> dict[str, str]:
-    change, turning = f"(-({rate}) * {dt})", f"({rate}) <> 0"
-    radius = f"(abs(speed / ({rate})) * sign({change}))"
-    return {
-        "lat": f"CASE WHEN {turning} THEN lat + {radius} * (sin(heading) - sin(heading - {change}))"
-        f" ELSE lat + speed * cos(heading) * {dt} END",
-        "lon": f"CASE WHEN {turning} THEN lon + {radius} * (cos(heading - {change}) - cos(heading))"
-        f" ELSE lon + speed * sin(heading) * {dt} END",
-        "heading": _wrap(f"CASE WHEN {turning} THEN heading - {change} ELSE heading END"),
-        "speed": "speed",
+    reached = f"(heading + ({rate}) * {dt})"
+    mean = {  # velocity over the step: the average along the arc, or the constant one
+        "lat": (f"(sin({reached}) - sin(heading)) / ({rate})", f"cos(heading) * {dt}"),
+        "lon": (f"(cos(heading) - cos({reached})) / ({rate})", f"sin(heading) * {dt}"),
     }
+    moved = {
+        axis: f"{axis} + CASE WHEN ({rate}) = 0 THEN speed * {ahead} ELSE abs(speed) * ({arc}) END"
+        for axis, (arc, ahead) in mean.items()
+    }
+    return {**moved, "heading": _wrap(f"CASE WHEN ({rate}) = 0 THEN heading ELSE {reached} END"), "speed": "speed"}
 
 
 def _moved(dt: str, rate: str) -> str:
@@ -490,9 +490,12 @@ FROM all_pairs WHERE NOT terminal""",
     + f"SELECT conflict_id, ord, action_idx, {_r('util')} AS util FROM best",
     "joint_utility": _with(*CLEAR_BEST)
     + f"SELECT conflict_id, {_r('sum(util)')} AS joint_util, count(*) AS n_aircraft FROM best GROUP BY ALL",
-    "resolve_conflicts": RESOLVE
-    + f"""SELECT conflict_id, flight_id, ord, action_idx, {_r('bank')} AS bank,
+    **dict.fromkeys(
+        ("resolve_conflicts", "resolve_distributed"),
+        RESOLVE
+        + f"""SELECT conflict_id, flight_id, ord, action_idx, {_r('bank')} AS bank,
   {_r('joint_util')} AS joint_util, n_iter, hit_cap FROM resolved""",
+    ),
     "default_policy": RESOLVE + "SELECT conflict_id, flight_id, ord, action_idx FROM resolved",
     "function_policy": _with(REPORTS, FLIGHTS, ROSTER)
     + f"""SELECT conflict_id, flight_id, ord, CAST((pos - 1) % {N_ACTIONS} AS INTEGER) AS action_idx,

@@ -54,6 +54,7 @@ class TablePolicy:
         self.utility = utility
         self._matrix = None
         self._shared: tuple[str, object] | None = None
+        self._sound: SparkSession | None = None
         if isinstance(utility, np.ndarray):
             self._matrix = self._checked(utility)
 
@@ -66,6 +67,18 @@ class TablePolicy:
             raise UtilityShapeError("utility holds NaN")
         return np.ascontiguousarray(matrix, dtype=np.float64)
 
+    def _check_frame(self) -> None:
+        """The same demands on a table that is only joined, in one aggregate."""
+        whole = (F.size("u") == self.n_joint) & ~F.exists("u", lambda x: x.isNull() | F.isnan(x))
+        states = F.count_distinct("state_idx")
+        rows, distinct, low, high, bad = self.utility.agg(
+            F.count("*"), states, F.min("state_idx"), F.max("state_idx"), F.count_if(~F.coalesce(whole, F.lit(False)))
+        ).first()
+        if (rows, distinct, low, high) != (self.n_states, self.n_states, 0, self.n_states - 1):
+            raise UtilityShapeError(f"state_idx must run from 0 to {self.n_states - 1}, each once")
+        if bad:
+            raise UtilityShapeError(f"utility rows must hold {self.n_joint} numbers")
+
     @property
     def broadcastable(self) -> bool:
         return self.n_states * self.n_joint * 8 <= MAX_TABLE_BYTES
@@ -98,6 +111,9 @@ class TablePolicy:
     def frame(self, spark: SparkSession) -> DataFrame:
         """The table as ``(state_idx, u)``."""
         if isinstance(self.utility, DataFrame):
+            if self._sound is not spark:
+                self._check_frame()
+                self._sound = spark
             return self.utility
         offsets = pa.array(np.arange(self.n_states + 1, dtype=np.int32) * self.n_joint)
         rows = pa.ListArray.from_arrays(offsets, pa.array(self._matrix.ravel()))
@@ -135,31 +151,21 @@ class FunctionPolicy:
     """A user function per conflict group.
 
     ``fn`` gets one group as a pandas frame (``flight_state`` columns, in ``ord`` order) and
-    returns one ``action_idx`` per row. Such a function needs its group in one task, so groups
-    beyond ``max_group`` aircraft go to ``fallback``; without one they raise.
+    returns one ``action_idx`` per row. Every group goes to ``fn``, whatever its size, so the largest
+    one must fit in a task; where that is not given, use a policy of DataFrame operations.
     """
 
     def __init__(
         self,
         fn: Callable[[pd.DataFrame], "np.ndarray | list[int]"],
         actions: tuple[float, ...] = BANK_ANGLES,
-        max_group: int = 10_000,
-        fallback: Policy | None = None,
     ):
         self.fn = fn
         self.actions = tuple(actions)
-        self.max_group = max_group
-        self.fallback = fallback
 
     def resolve(self, flights: DataFrame) -> DataFrame:
         columns = [f.name for f in FLIGHT_STATE]
-        sized = filter_multi(flights.select(*columns), keep_size=True)
-        small = F.col("n") <= self.max_group
-        if self.fallback is None:
-            guard = F.assert_true(small, F.lit("a group exceeds max_group and no fallback is set"))
-            usable = sized.where(guard.isNull()).drop("n")
-        else:
-            usable = sized.where(small).drop("n")
+        usable = filter_multi(flights.select(*columns))
         fn, actions = self.fn, np.asarray(self.actions)
 
         def answer(group: pd.DataFrame) -> pd.DataFrame:
@@ -198,10 +204,7 @@ class FunctionPolicy:
                 yield answer(pd.concat(held))
 
         sorted_groups = usable.repartition("conflict_id").sortWithinPartitions("conflict_id", "ord")
-        resolved = sorted_groups.mapInPandas(run, RESOLUTION)
-        if self.fallback is None:
-            return resolved
-        return resolved.unionByName(self.fallback.resolve(sized.where(~small).drop("n")))
+        return sorted_groups.mapInPandas(run, RESOLUTION)
 
 
 def default_policy(spark: SparkSession, path: str, **options) -> TablePolicy:

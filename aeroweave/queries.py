@@ -561,6 +561,11 @@ def resolve_conflicts_query(spark, sf):
     return _rounded(resolve_conflicts(_flights(spark, sf), POLICY), "bank", "joint_util")
 
 
+def resolve_distributed_query(spark, sf):
+    """The same search with every group treated as too large for a task."""
+    return _rounded(resolve_conflicts(_flights(spark, sf), POLICY, max_group_pairs=0), "bank", "joint_util")
+
+
 def resolve_shuffled_query(spark, sf):
     resolved = resolve_conflicts(_flights(spark, sf), POLICY, order="shuffle", seed=11)
     return _rounded(resolved, "bank", "joint_util")

@@ -1,7 +1,7 @@
 """Readers, decoders and writers of the wire formats."""
 
 from .advisory import advisory_rejects, decode_advisories, decode_advisory
-from .conflict import conflict_rejects, decode_conflict_group, split_conflict_groups
+from .conflict import conflict_rejects, decode_conflict_group, part_key, read_part_key, split_conflict_groups
 from .messages import read_messages, read_stream, write_messages
 from .status import decode_status, status_rejects
 from .utility import load_utility
@@ -9,7 +9,9 @@ from .xml import (
     decode_operation_messages_xml,
     decode_operations_xml,
     decode_positions_xml,
+    operation_message_rejects,
     operation_rejects,
+    position_rejects,
     read_operation_messages_xml,
     read_operations_xml,
     read_positions_xml,
@@ -27,9 +29,13 @@ __all__ = [
     "decode_positions_xml",
     "decode_status",
     "load_utility",
+    "operation_message_rejects",
     "operation_rejects",
+    "part_key",
+    "position_rejects",
     "read_messages",
     "read_operation_messages_xml",
+    "read_part_key",
     "read_operations_xml",
     "read_positions_xml",
     "read_stream",

@@ -10,7 +10,10 @@ from .status import number
 
 
 def _flatten(df: DataFrame, rest: list[str], adv: str) -> DataFrame:
-    """First waypoint of each advisory; the flag must read exactly ``true`` or ``false``."""
+    """First waypoint of each advisory; the flag must read exactly ``true`` or ``false``.
+
+    A hovering aircraft has no turn rate: a waypoint may leave it out, but not garble it.
+    """
     flag = F.col(f"{adv}.clearOfConflict")
     first = F.get(F.col(f"{adv}.waypoints"), F.lit(0))
     return df.select(
@@ -23,6 +26,7 @@ def _flatten(df: DataFrame, rest: list[str], adv: str) -> DataFrame:
         number(first["heading"]).alias("heading"),
         number(first["period"]).alias("period_s"),
         number(first["turn"]).alias("turn_rate"),
+        (first["turn"].isNull() | number(first["turn"]).isNotNull()).alias("_turn_ok"),
         F.col(adv).alias("_adv"),
     )
 
@@ -32,7 +36,7 @@ def _valid() -> Column:
         F.col("flight_id").isNotNull()
         & F.col("clear_of_conflict").isNotNull()
         & F.col("period_s").isNotNull()
-        & F.col("turn_rate").isNotNull(),
+        & F.col("_turn_ok"),
         F.lit(False),
     )
 
@@ -46,7 +50,7 @@ def _exploded(df: DataFrame, col: str) -> DataFrame:
 
 def decode_advisories(df: DataFrame, col: str = "value") -> DataFrame:
     """One row per advisory of ``{"advisories": [...]}`` messages."""
-    return _exploded(df, col).where(_valid()).drop("_adv", "_raw")
+    return _exploded(df, col).where(_valid()).drop("_adv", "_raw", "_turn_ok")
 
 
 def advisory_rejects(df: DataFrame, col: str = "value") -> DataFrame:
@@ -60,4 +64,4 @@ def decode_advisory(df: DataFrame, col: str = "value") -> DataFrame:
     """One row per message that holds a single bare advisory."""
     rest = [c for c in df.columns if c != col]
     parsed = df.select(*rest, F.explode(F.array(F.from_json(col, ADVISORY))).alias("_a"))
-    return _flatten(parsed, rest, "_a").where(_valid()).drop("_adv")
+    return _flatten(parsed, rest, "_a").where(_valid()).drop("_adv", "_turn_ok")

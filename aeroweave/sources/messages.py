@@ -21,7 +21,8 @@ def _source(reader, topic: str, format: str, options: dict[str, str] | None) ->
         )
     folders = f"{{{topic}}}" if "," in topic else topic
     path = f"{options.pop('path').rstrip('/')}/{folders}"
-    return reader.format(format).schema(MESSAGE).options(**options).load(path)
+    # a topic may hold a folder per published batch
+    return reader.format(format).schema(MESSAGE).options(**options).load(path).select(*MESSAGE.names)
 
 
 def read_stream(
@@ -59,12 +60,14 @@ def write_messages(
     options: dict[str, str] | None = None,
     checkpoint: str | None = None,
     trigger: dict | None = None,
+    batch_id: int | None = None,
 ) -> DataStreamWriter | None:
     """Publish ``value`` (and ``key``) to a topic.
 
     A bounded frame is written at once. A stream returns its writer, ready for ``start()``, and
     needs ``checkpoint``. Without ``topic`` every row names its own in a ``topic`` column, which
-    gives one topic per region or client.
+    gives one topic per region or client. With ``batch_id`` a file format writes a folder of that batch and
+    replaces it if the batch is repeated; Kafka consumers drop repeated messages by key and value.
     """
     options = dict(options or {})
     if topic is None and format != "kafka":
@@ -80,7 +83,11 @@ def write_messages(
         if "timestamp" not in out.columns:
             out = out.withColumn("timestamp", F.current_timestamp())
     if not df.isStreaming:
-        out.write.format(format).options(**options).mode("append").save()
+        if batch_id is not None and format != "kafka":
+            options["path"] = f"{options['path']}/batch_id={batch_id}"
+            out.write.format(format).options(**options).mode("overwrite").save()
+        else:
+            out.write.format(format).options(**options).mode("append").save()
         return None
     writer = out.writeStream.format(format).options(**options).outputMode("append")
     writer = writer.option("checkpointLocation", checkpoint)

@@ -86,9 +86,29 @@ def _window_ok() -> Column:
     return F.coalesce(F.col("effective_time_begin") <= F.col("effective_time_end"), F.lit(False))
 
 
+def _named() -> Column:
+    """A message that is not XML, or not of this kind, names no flight."""
+    return F.coalesce(F.col("gufi") != "", F.lit(False))
+
+
 def decode_positions_xml(df: DataFrame, col: str = "value") -> DataFrame:
     """Positions of messages that each hold one ``utm:positions`` element."""
-    return _decode(df, col, POSITION_XML, _position_columns())
+    return _decode(df, col, POSITION_XML, _position_columns()).where(_named())
+
+
+def _rejects(df: DataFrame, col: str, schema: T.StructType, columns: list[Column]) -> DataFrame:
+    raw = df.withColumn("reject", F.col(col))
+    return _decode(raw, col, schema, columns).where(~_named()).select(*[c for c in df.columns if c != col], "reject")
+
+
+def position_rejects(df: DataFrame, col: str = "value") -> DataFrame:
+    """Messages that :func:`decode_positions_xml` leaves out, as they came."""
+    return _rejects(df, col, POSITION_XML, _position_columns())
+
+
+def operation_message_rejects(df: DataFrame, col: str = "value") -> DataFrame:
+    """Messages that :func:`decode_operation_messages_xml` leaves out, as they came."""
+    return _rejects(df, col, OPERATION_MESSAGE_XML, _message_columns())
 
 
 def decode_operations_xml(df: DataFrame, col: str = "value") -> DataFrame:
@@ -98,7 +118,7 @@ def decode_operations_xml(df: DataFrame, col: str = "value") -> DataFrame:
 
 def decode_operation_messages_xml(df: DataFrame, col: str = "value") -> DataFrame:
     """Messages that each hold one ``utm:operation_messages`` element."""
-    return _decode(df, col, OPERATION_MESSAGE_XML, _message_columns())
+    return _decode(df, col, OPERATION_MESSAGE_XML, _message_columns()).where(_named())
 
 
 def operation_rejects(df: DataFrame, col: str = "value") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.groups import assemble_conflict
 from ..operators.latest import latest_state
+from ..sources.conflict import part_key
 from ..sources.messages import write_messages
 from ..sources.status import decode_status
 
@@ -43,9 +44,10 @@ def ingest_stream(
 
 
 def assemble_stream(flights: DataFrame, max_records: int = 50_000) -> DataFrame:
-    """Conflict messages ``(key, value)`` of a batch of closed windows."""
+    """Conflict messages ``(key, value)`` of a batch of closed windows; large windows come in parts that say so."""
     parts = assemble_conflict(flights, max_records)
-    return parts.select(F.col("conflict_id").alias("key"), "value")
+    key = part_key(*(F.col(c) for c in ("conflict_id", "part", "n_parts", "first")))
+    return parts.select(key.alias("key"), "value")
 
 
 def start_ingest(
@@ -62,7 +64,7 @@ def start_ingest(
     """Run status -> conflict. A window closes within one batch, so a message is never torn."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        write_messages(assemble_stream(batch, max_records), topic, format, options)
+        write_messages(assemble_stream(batch, max_records), topic, format, options, batch_id=batch_id)
 
     return (
         ingest_stream(messages, window, delay)

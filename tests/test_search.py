@@ -13,6 +13,7 @@ from aeroweave.operators.pairs import distinct_state_pairs
 from aeroweave.plans import FunctionPolicy, Policy, TablePolicy, maxmin, policy_sweep, resolve_conflicts
 from aeroweave.plans import policy as policy_module
 from aeroweave.plans import resolve as resolve_module
+from aeroweave.plans.resolve import _large_groups
 from aeroweave.plans.search import SHUFFLE_PRIME, sweep_factor
 from aeroweave.plans.sweep import linear_range
 from brute import random_group, search
@@ -179,16 +180,38 @@ def test_function_policy(make_flights, policy, scenario):
     assert got == want
 
 
-def test_function_policy_group_limit(make_flights, policy, scenario):
+def test_function_policy_gets_every_group(make_flights, scenario):
+    seen = FunctionPolicy(lambda g: np.full(len(g), len(g) % 6)).resolve(make_flights(scenario)).collect()
+    sizes = {c: len(m) for c, m in groups_of(scenario).items() if len(m) > 1}
+    assert {r.conflict_id: r.action_idx for r in seen} == {c: n % 6 for c, n in sizes.items()}
+
+
+def test_sparse_group_is_bounded_by_its_aircraft(spark, policy):
+    """A wide lattice has no pairs in range, but still too many aircraft for one task."""
+    lattice = spark.range(3000).selectExpr(
+        "'far' AS conflict_id", "concat('f', id) AS flight_id", "id AS ord", "id * 9000D AS lat", "0D AS lon", "0D AS heading", "10D AS speed"
+    )
+    large, _ = _large_groups(lattice, 1000, 500)
+    assert [r.conflict_id for r in large.collect()] == ["far"]
+    got = resolve_conflicts(lattice, policy, max_group_pairs=1000)
+    want = resolve_conflicts(lattice, policy, max_group_pairs=10_000_000)
+    assert got.exceptAll(want).isEmpty() and got.count() == 3000
+
+
+def test_joined_table_must_be_whole(spark, policy, make_flights, scenario, monkeypatch):
+    from aeroweave.plans import policy as module
+    from aeroweave.plans import TablePolicy
+
+    whole = policy.frame(spark).cache()
+    monkeypatch.setattr(module, "MAX_TABLE_BYTES", 0)
     flights = make_flights(scenario)
-    limited = FunctionPolicy(lambda g: np.zeros(len(g), int), max_group=10)
-    with pytest.raises(Exception, match="max_group"):
-        limited.resolve(flights).collect()
-    mixed = FunctionPolicy(lambda g: np.zeros(len(g), int), max_group=10, fallback=policy)
-    got = {(r.conflict_id, r.ord): r.action_idx for r in mixed.resolve(flights).collect()}
-    want = expected(groups_of(scenario)["crowd"], TABLE)
-    assert {k: v for k, v in got.items() if k[0] == "crowd"} == {k: v[0] for k, v in want.items()}
-    assert all(v == 0 for k, v in got.items() if k[0] != "crowd")
+    for broken in (whole.where("state_idx % 2 = 0"), whole.withColumn("u", F.transform("u", lambda x: x * float("nan")))):
+        with pytest.raises(Exception, match="state_idx|numbers"):
+            resolve_conflicts(flights, TablePolicy(broken)).collect()
+    got = resolve_conflicts(flights, TablePolicy(whole))
+    monkeypatch.undo()
+    want = resolve_conflicts(flights, policy)
+    assert got.select("conflict_id", "ord", "action_idx").exceptAll(want.select("conflict_id", "ord", "action_idx")).isEmpty()
 
 
 def test_policy_sweep_three_aircraft(make_flights, policy):

@@ -12,6 +12,7 @@ from aeroweave.session import scratch_path
 from aeroweave.sources import (
     decode_advisories,
     decode_conflict_group,
+    part_key,
     read_messages,
     read_stream,
     split_conflict_groups,
@@ -83,12 +84,50 @@ def test_advise_stream_equals_batch(spark, make_flights, policy):
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 2 + 3 + 4 + 5
 
 
-def test_parts_of_a_group_are_resolved_together(spark, make_flights, policy):
-    flights = make_flights([("g", 120 * i, 80 * i, i, 10 + i % 9) for i in range(9)])
-    parts = assemble_conflict(flights, 2).select(F.col("conflict_id").alias("key"), "value")
-    assert parts.count() > 1
-    got = decode_advisories(advise_stream(parts, policy))
-    assert got.count() == 9 and advise_stream(parts, policy).select("key").distinct().count() == 1
+def keyed(parts):
+    return parts.select(part_key(*(F.col(c) for c in ("conflict_id", "part", "n_parts", "first"))).alias("key"), "value")
+
+
+def actions(messages):
+    rows = decode_advisories(messages).select("flight_id", "clear_of_conflict", "turn_rate").collect()
+    return sorted((r.flight_id, r.clear_of_conflict, round(r.turn_rate, 9)) for r in rows)
+
+
+def test_parts_and_repeats_do_not_change_the_answer(make_flights, policy):
+    flights = make_flights([("g", 37 * (i * 7 % 40), -23 * (i * 3 % 40), i, 10 + i % 9) for i in range(40)])
+    want = actions(advise(flights, policy))
+    parts = keyed(assemble_conflict(flights, 7))
+    assert parts.count() == 6 and actions(advise_stream(parts, policy)) == want
+    assert actions(advise_stream(parts.unionByName(parts), policy)) == want
+    assert [r.key for r in advise_stream(parts, policy).collect()] == ["g"]
+
+
+def test_messages_with_one_key_stay_apart(make_flights, policy):
+    groups = make_flights([("g", 100 * i, 50 * i, i, 12) for i in range(4)] + [("h", 90 * i, -70 * i, i, 11) for i in range(3)])
+    named = keyed(assemble_conflict(groups)).withColumn("key", F.lit("k"))
+    got = advise_stream(named, policy)
+    assert [r.key for r in got.collect()] == ["k", "k"] and actions(got) == actions(advise(groups, policy))
+
+
+def test_parts_over_two_batches_wait_for_each_other(spark, make_flights, policy):
+    root = scratch_path(spark, "torn")
+    flights = make_flights([("g", 41 * (i * 7 % 20), -29 * (i * 3 % 20), i, 10 + i % 9) for i in range(20)])
+    parts = keyed(assemble_conflict(flights, 6)).orderBy("key").collect()
+    for some in (parts[:3], parts[3:], parts[:1]):
+        write_messages(spark.createDataFrame(some, "key string, value string"), "conflict", "json", {"path": root})
+        start_advise(
+            read_stream(spark, "conflict", "json", {"path": root}), policy, f"{root}/checkpoint", format="json",
+            options={"path": root}, trigger={"availableNow": True},
+        ).awaitTermination()
+    assert actions(read_messages(spark, "advisory", "json", {"path": root})) == actions(advise(flights, policy))
+
+
+def test_a_repeated_batch_is_published_once(spark):
+    root = scratch_path(spark, "replay")
+    rows = spark.createDataFrame([("k", "v")], "key string, value string")
+    for batch in (0, 1, 1):
+        write_messages(rows, "out", "json", {"path": root}, batch_id=batch)
+    assert read_messages(spark, "out", "json", {"path": root}).count() == 2
 
 
 def test_stream_sink_needs_a_checkpoint(spark):

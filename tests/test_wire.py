@@ -20,7 +20,9 @@ from aeroweave.sources import (
     decode_positions_xml,
     decode_status,
     load_utility,
+    operation_message_rejects,
     operation_rejects,
+    position_rejects,
     read_messages,
     read_operation_messages_xml,
     read_operations_xml,
@@ -92,20 +94,20 @@ def test_group_string_round_trip_and_parts(make_flights):
     assert single.endswith(",") and single.startswith("g-0%0.0%0.0%0.0%10.0,g-1%1.0%-1.0%0.25%")
 
 
-GOLDEN = (
+SAMPLE = (
     '{"advisories":['
-    '{"gufi":"fid-test0","clearOfConflict":"false","waypoints":[{"lat":"0.0","lon":"0.0","speed":"10.0",'
-    '"heading":"0.0","period":"5.0","turn":"0.175"}]},'
-    '{"gufi":"fid-test1","clearOfConflict":"false","waypoints":[{"lat":"300.0","lon":"300.0","speed":"12.0",'
-    '"heading":"3.142","period":"5.0","turn":"-0.175"}]}]}'
+    '{"gufi":"uas-7","clearOfConflict":"false","waypoints":[{"lat":"-12.5","lon":"40.25","speed":"17.5",'
+    '"heading":"1.25","period":"4.0","turn":"-0.31"}]},'
+    '{"gufi":"uas-9","clearOfConflict":"true","waypoints":[{"lat":"88.0","lon":"-3.0","speed":"21.0",'
+    '"heading":"0.5","period":"6.5","turn":"0.0"}]}]}'
 )
 
 
-def test_advisory_golden(spark):
-    got = {r.flight_id: r for r in decode_advisories(values(spark, GOLDEN)).collect()}
-    assert (got["fid-test0"].turn_rate, got["fid-test1"].turn_rate) == (0.175, -0.175)
-    assert got["fid-test1"].period_s == 5.0 and not got["fid-test1"].clear_of_conflict
-    assert (got["fid-test1"].lat, got["fid-test1"].heading) == (300.0, 3.142)
+def test_advisory_sample(spark):
+    got = {r.flight_id: r for r in decode_advisories(values(spark, SAMPLE)).collect()}
+    assert (got["uas-7"].turn_rate, got["uas-9"].turn_rate) == (-0.31, 0.0)
+    assert got["uas-9"].period_s == 6.5 and got["uas-9"].clear_of_conflict and not got["uas-7"].clear_of_conflict
+    assert (got["uas-7"].lat, got["uas-7"].heading) == (-12.5, 1.25)
 
 
 def test_advisory_flag_is_strict(spark):
@@ -122,7 +124,7 @@ def test_advise_round_trip_in_parts(make_flights, policy):
     flights = make_flights(rows)
     want = {
         (r.conflict_id, r.flight_id): (r.clear_of_conflict, r.turn_rate)
-        for r in advisory_rows(flights, policy.resolve(flights)).collect() if r.turn_rate is not None
+        for r in advisory_rows(flights, policy.resolve(flights)).collect()
     }
     for limit in (100, 5):
         messages = advise(flights, policy, limit)
@@ -141,7 +143,10 @@ def test_zero_speed_has_no_turn_rate(spark):
         "conflict_id string, flight_id string, ord bigint, clear_of_conflict boolean, lat double, lon double,"
         " speed double, heading double, period_s int, turn_rate double",
     )
-    assert "turn" not in json.loads(encode_advisories(rows).first().value)["advisories"][0]["waypoints"][0]
+    message = encode_advisories(rows)
+    assert "turn" not in json.loads(message.first().value)["advisories"][0]["waypoints"][0]
+    back = decode_advisories(message).first()
+    assert back.turn_rate is None and back.clear_of_conflict is False and back.period_s == 5
 
 
 def write_utility(spark, table, files=3):
@@ -213,6 +218,14 @@ def write_xml(spark, *documents):
     return f"{root}/*"
 
 
+def test_broken_xml_is_rejected(spark):
+    broken = ["", "no xml", POSITION[: len(POSITION) // 2], "<utm:positions></utm:positions>"]
+    df = values(spark, POSITION, *broken)
+    assert decode_positions_xml(df).count() == 1
+    assert sorted(r.reject for r in position_rejects(df).collect()) == sorted(broken)
+    assert operation_message_rejects(values(spark, *broken)).count() == len(broken)
+
+
 def test_xml_files(spark):
     got = read_positions_xml(spark, write_xml(spark, POSITION)).first()
     assert (got.gufi, got.heading, got.lon, got.lat, got.speed) == ("fid-1", 90.0, -1.5, 2.25, 71.0)
