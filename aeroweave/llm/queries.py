@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from . import bpe, chat, imatch, packing, quality, sharding, token_store, url_filter
 from .jaccard_join import near_duplicates
+from .oracle import ORACLES  # noqa: F401
 from .substring import repeat_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +146,3 @@ QUERIES: dict[str, Query] = {
         op10_quality_rules,
     )
 }
-
-#: SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
