@@ -177,6 +177,12 @@ def in_range_pairs(
     return _pairs(lean, hot, wrap_bearing)
 
 
+def acted_pairs(flights: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """:func:`in_range_pairs` with the action of both aircraft, for states written down already."""
+    lean = flights.select("conflict_id", "ord", *_STATE, "action")
+    return _pairs(lean, hot_cells(lean.drop("action"), block_rows))
+
+
 def _pairs(flights: DataFrame, hot: DataFrame | None, wrap_bearing: bool = False) -> DataFrame:
     """:func:`in_range_pairs` on states that need no preparation; other columns go along."""
     columns = [c for c in flights.columns if c != "conflict_id"]

@@ -108,6 +108,34 @@ def clear_utility(pairs: DataFrame, table, grid: Grid = Grid(), n_actions: int =
     return pairs.mapInArrow(run, schema)
 
 
+def acted_utility(pairs: DataFrame, table, grid: Grid = Grid(), n_actions: int = N_ACTIONS) -> DataFrame:
+    """``u0 .. u5``: utility of each own action against the action in ``intr_action``.
+
+    Like :func:`clear_utility`, for intruders that each fly an action of their own.
+    """
+    keep = [c for c in _kept(pairs) if c not in ("own_action", "intr_action")]
+    names = [f"u{a}" for a in range(n_actions)]
+    cuts = grid.cuts
+    schema = T.StructType(
+        [f for f in pairs.schema if f.name in keep] + [T.StructField(n, T.DoubleType()) for n in names]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u = table.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            q = utilities(point_matrix(batch), cuts, u).reshape(-1, n_actions, n_actions)
+            flown = batch.column("intr_action").to_numpy()
+            own = q[np.arange(len(q)), :, flown]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [pa.array(np.ascontiguousarray(c)) for c in own.T],
+                [*keep, *names],
+            )
+
+    return pairs.mapInArrow(run, schema)
+
+
 def pair_utility_by_join(
     beliefs: DataFrame, utility: DataFrame, n_joint: int = N_JOINT, keys: tuple[str, ...] = PAIR_KEYS
 ) -> DataFrame:
@@ -197,6 +225,7 @@ def joint_utility(responses: DataFrame) -> DataFrame:
 __all__ = [
     "CLEAR_INDEX",
     "action_slice",
+    "acted_utility",
     "best_response",
     "clear_utility",
     "fold_terminal",

@@ -2,7 +2,7 @@
 
 from .advise import advise, advisory_rows
 from .policy import FunctionPolicy, Policy, TablePolicy, default_policy
-from .resolve import maxmin, resolve_conflicts
+from .resolve import maxmin, resolve_conflicts, worst_cases
 from .sweep import policy_sweep, sweep_scenarios
 
 __all__ = [
@@ -16,4 +16,5 @@ __all__ = [
     "policy_sweep",
     "resolve_conflicts",
     "sweep_scenarios",
+    "worst_cases",
 ]

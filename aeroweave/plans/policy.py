@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid
 from ..functions.kernel import POINT_COLUMNS
 from ..operators.groups import filter_multi
-from ..operators.utility import clear_utility, pair_belief, pair_utility, pair_utility_by_join
+from ..operators.utility import acted_utility, action_slice, clear_utility, pair_belief, pair_utility, pair_utility_by_join
 from ..schemas import BANK_ANGLES, FLIGHT_STATE, RESOLUTION
 from ..sources.utility import UtilityShapeError, load_utility
 
@@ -141,6 +141,15 @@ class TablePolicy:
             *keep, *[F.get("q", F.lit(a * n + n - 1)).alias(f"u{a}") for a in range(n)]
         )
 
+    def pair_acted(self, pairs: DataFrame) -> DataFrame:
+        """Utilities ``u0..`` per in-range pair against the intruder's ``intr_action``."""
+        n = len(self.actions)
+        if self.broadcastable:
+            return acted_utility(pairs, self.table(pairs.sparkSession), self.grid, n)
+        keep = [c for c in pairs.columns if c not in (*POINT_COLUMNS, "own_action", "intr_action")]
+        own = action_slice(F.col("q"), F.col("intr_action"), n)
+        return self.pair_q(pairs).select(*keep, *[c.alias(f"u{a}") for a, c in enumerate(own)])
+
     def resolve(self, flights: DataFrame) -> DataFrame:
         from .resolve import resolve_conflicts
 

@@ -41,6 +41,7 @@ from .plans import (
     maxmin,
     policy_sweep,
     resolve_conflicts,
+    worst_cases,
 )
 from .schemas import CLEAR, DECISION_PERIOD_S, N_ACTIONS, N_JOINT
 from .session import materialize, scratch_path
@@ -530,9 +531,9 @@ def _spread_utils(df: DataFrame) -> list[Column]:
 
 def worst_case_query(spark, sf):
     """Worst case while every aircraft flies the action numbered by its id."""
-    flights, q = _pair_q(spark, sf)
+    flights = materialize(_flights(spark, sf))
     current = flights.select("conflict_id", "ord", (F.col("ord") % N_ACTIONS).cast("int").alias("action_idx"))
-    utils = worst_case(flights, q, current)
+    utils = worst_cases(flights, POLICY, current)
     return utils.select("conflict_id", "flight_id", "ord", *_spread_utils(utils))
 
 

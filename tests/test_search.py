@@ -10,7 +10,7 @@ from aeroweave.fixtures import synthetic_utility
 from aeroweave.functions.angles import joint_action_index
 from aeroweave.operators import best_response, in_range_pairs, pair_belief, pair_utility_by_join, worst_case
 from aeroweave.operators.pairs import distinct_state_pairs
-from aeroweave.plans import FunctionPolicy, Policy, TablePolicy, maxmin, policy_sweep, resolve_conflicts
+from aeroweave.plans import FunctionPolicy, Policy, TablePolicy, maxmin, policy_sweep, resolve_conflicts, worst_cases
 from aeroweave.plans import policy as policy_module
 from aeroweave.plans import resolve as resolve_module
 from aeroweave.plans.resolve import _large_groups
@@ -180,6 +180,16 @@ def test_function_policy(make_flights, policy, scenario):
     assert got == want
 
 
+def test_worst_cases_equal_the_pairwise_ones(make_flights, policy, scenario):
+    flights = make_flights(scenario)
+    current = flights.select("conflict_id", "ord", (F.col("ord") % 6).cast("int").alias("action_idx"))
+    lean = worst_cases(flights, policy, current)
+    full = worst_case(flights, policy.pair_q(in_range_pairs(flights)), current)
+    assert lean.exceptAll(full.select(*lean.columns)).isEmpty() and lean.count() == full.count() > 0
+    plan = lean._jdf.queryExecution().executedPlan().toString()
+    assert not any("array" in line for line in plan.split("\n") if "Exchange" in line)
+
+
 def test_function_policy_gets_every_group(make_flights, scenario):
     seen = FunctionPolicy(lambda g: np.full(len(g), len(g) % 6)).resolve(make_flights(scenario)).collect()
     sizes = {c: len(m) for c, m in groups_of(scenario).items() if len(m) > 1}
