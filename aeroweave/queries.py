@@ -43,6 +43,7 @@ from .plans import (
     resolve_conflicts,
     worst_cases,
 )
+from .plans.sweep import linear_range
 from .schemas import CLEAR, DECISION_PERIOD_S, N_ACTIONS, N_JOINT
 from .session import materialize, scratch_path
 from .sources import (
@@ -70,7 +71,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 GRID = Grid()
 POLICY = TablePolicy(fixtures.synthetic_utility(), GRID)
-SWEEP_METRES = (-1000.0, 1000.0)
+SWEEP_METRES = tuple(linear_range(-2500.0, 2500.0, 10))
 HUB_BOX = 200_001
 STREAM_WINDOW = "5 minutes"
 STREAM_DELAY = "10 minutes"

@@ -15,7 +15,9 @@ from aeroweave.plans import policy as policy_module
 from aeroweave.plans import resolve as resolve_module
 from aeroweave.plans.resolve import _large_groups
 from aeroweave.plans.search import SHUFFLE_PRIME, sweep_factor
+from aeroweave.plans import sweep as sweep_module
 from aeroweave.plans.sweep import linear_range
+from aeroweave.queries import SWEEP_METRES
 from brute import random_group, search
 
 TABLE = synthetic_utility()
@@ -234,3 +236,31 @@ def test_policy_sweep_three_aircraft(make_flights, policy):
         moved = [("s", axis[r.ix], axis[r.iy], 0, 10)] + fleet[1:]
         assert r.action_idx == search(moved, TABLE)[0][r.ord]
         assert r.shade == (0.05 if r.action_idx == 5 else policy.actions[r.action_idx])
+
+
+def test_policy_sweep_matches_cells_resolved_one_by_one(make_flights, policy, scenario, monkeypatch):
+    """Shared pairs, runs of cells, several or no moved aircraft and large scenarios give what separate groups give."""
+    flights = make_flights(scenario)
+    lats, lons = linear_range(-2500.0, 2500.0, 3), linear_range(-2000.0, 2000.0, 4)
+    swept = F.col("ord") % 5 == 1
+    want = sorted(sweep_module._sweep_groups(flights, lats, lons, policy, swept).collect())
+    assert want and sorted(policy_sweep(flights, lats, lons, policy, swept).collect()) == want
+    monkeypatch.setattr(sweep_module, "BATCH_PAIRS", 50)
+    assert sorted(policy_sweep(flights, lats, lons, policy, swept, 200, 300).collect()) == want
+
+
+def test_policy_sweep_finds_unmoved_pairs_once(make_flights, policy, monkeypatch):
+    """The reference's scenario at its resolution: the join on cells sees the unmoved aircraft once."""
+    pi, seen = np.pi, []
+    fleet = [("s", 0, 0, 0, 10), ("s", 1000, 800, pi, 10), ("s", 1000, -800, pi, 10)]
+    found = sweep_module.pairs_within
+    monkeypatch.setattr(sweep_module, "pairs_within", lambda f, *a: (seen.append(f.count()), found(f, *a))[1])
+    axis = linear_range(-2500.0, 2500.0, 100)
+    cells = policy_sweep(make_flights(fleet), axis, axis, policy).collect()
+    assert len(cells) == 100 * 100 * 3 and seen == [2]
+    for r in cells[::61]:
+        assert r.action_idx == search([("s", axis[r.ix], axis[r.iy], 0, 10)] + fleet[1:], TABLE)[0][r.ord]
+
+
+def test_registered_sweep_covers_the_reference_square():
+    assert SWEEP_METRES[0] == -2500.0 and SWEEP_METRES[-1] == 2500.0 and len(SWEEP_METRES) > 2
