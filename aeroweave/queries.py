@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import fixtures
@@ -65,6 +66,7 @@ from .sources import (
     to_planar,
     write_messages,
 )
+from .sources.conflict import part_key, read_part_key
 from .streaming import start_advise, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,29 +141,54 @@ def assemble_conflict_query(spark, sf):
 
 
 def _wire_groups(spark, sf) -> DataFrame:
-    """One message per hour: the hour's conflict strings split by spaces, keyed by the hour."""
-    strings = assemble_conflict(filter_multi(_flights(spark, sf)))
+    """One message per hour: the hour's conflict strings split by spaces, keyed by the hour.
+
+    An hour has twelve groups at most. Where one of them is cut into parts, each string of the hour is a message of its
+    own, keyed by ``part_key`` of the name that the group has in its hour, so no message grows with a group.
+    """
+    strings = materialize(assemble_conflict(filter_multi(_flights(spark, sf))))
     hour = F.floor(F.col("conflict_id").cast("bigint") / 12).cast("string")
-    ordered = F.sort_array(F.collect_list(F.struct("conflict_id", "value")))
-    return strings.groupBy(hour.alias("key")).agg(
-        F.array_join(F.transform(ordered, lambda s: s["value"]), " ").alias("value")
+    same, ordered = W.partitionBy("hour"), W.partitionBy("hour").orderBy("conflict_id")
+    groups = strings.where("part = 0").select("conflict_id", hour.alias("hour"), "n_parts").select(
+        "conflict_id",
+        "hour",
+        F.when(F.count("*").over(same) == 1, F.col("hour"))
+        .otherwise(F.concat_ws("-", "hour", F.row_number().over(ordered) - 1))
+        .alias("name"),
+        (F.max("n_parts").over(same) > 1).alias("torn"),
+    )
+    named = strings.join(groups, "conflict_id")
+    torn = named.where("torn").select(
+        part_key(F.col("name"), F.col("part"), F.col("n_parts"), F.col("first")).alias("key"), "value"
+    )
+    rows = F.sort_array(F.collect_list(F.struct("conflict_id", "value")))
+    whole = named.where(~F.col("torn")).groupBy(F.col("hour").alias("key")).agg(
+        F.array_join(F.transform(rows, lambda s: s["value"]), " ").alias("value")
     )
+    return whole.unionByName(torn)
+
+
+def _unwired(messages: DataFrame) -> DataFrame:
+    """Group strings under the groups' names; the parts of a group share its name."""
+    return split_conflict_groups(read_part_key(messages).select("name", "value", "first"), key="name")
 
 
 def split_conflict_groups_query(spark, sf):
-    groups = split_conflict_groups(_wire_groups(spark, sf), key="key")
     records = F.filter(F.split("group", ","), lambda r: r != "")
-    return groups.select(
+    parts = _unwired(_wire_groups(spark, sf)).select(
         "conflict_id",
-        F.size(records).alias("n_records"),
-        F.substring_index(F.get(records, F.lit(0)), "%", 1).alias("first_id"),
+        "first",
+        F.size(records).alias("n"),
+        F.substring_index(F.get(records, F.lit(0)), "%", 1).alias("id"),
+    )
+    return parts.groupBy("conflict_id").agg(
+        F.sum("n").cast("int").alias("n_records"), F.min_by("id", "first").alias("first_id")
     )
 
 
 def decode_conflict_group_query(spark, sf):
-    """Records of every message, with the malformed ones that each message is given."""
-    groups = split_conflict_groups(_wire_groups(spark, sf), key="key")
-    return _rounded(decode_conflict_group(groups), *_STATE)
+    """Records of every message, at their position in the whole group."""
+    return _rounded(decode_conflict_group(_unwired(_wire_groups(spark, sf))).drop("first"), *_STATE)
 
 
 def conflict_rejects_query(spark, sf):

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from aeroweave import queries
 from aeroweave.fixtures import synthetic_utility
 from aeroweave.operators import assemble_conflict, encode_advisories, encode_status
 from aeroweave.plans import advise, advisory_rows, default_policy
+from conftest import SF_DIR
 from aeroweave.session import checkpoint_root, scratch_path
 from aeroweave.sources import (
     advisory_rejects,
@@ -264,3 +266,12 @@ def test_messages_to_files_and_back(spark):
 def test_scratch_lives_below_the_named_folder(spark):
     assert spark.conf.get("spark.checkpoint.dir") == checkpoint_root(spark)
     assert scratch_path(spark, "x").startswith(checkpoint_root(spark))
+
+
+@pytest.mark.parametrize("query", ["split_conflict_groups", "decode_conflict_group"])
+@pytest.mark.parametrize("limit", [1, 2])
+def test_wire_groups_do_not_depend_on_the_size_of_a_message(spark, monkeypatch, query, limit):
+    rows = lambda: sorted(map(tuple, queries.QUERIES[query](spark, SF_DIR).collect()))
+    want = rows()
+    monkeypatch.setattr(queries, "assemble_conflict", lambda flights: assemble_conflict(flights, limit))
+    assert want and rows() == want
