@@ -1,5 +1,7 @@
 """N-gram Jaccard join as a grouped prefix join.
 
+Components are complete; links are not returned, and pairs that are connected already are not verified one by one.
+
 1. Frequent shingles are counted and put last in the order of all shingles; the others keep hash order.
 2. A document is reduced to its set size, a digest of the set, its prefix (the first
    ``n - ceil(t * n) + 1`` shingles: linked sets always share one of these) and a 512-bit parity sketch.
