@@ -67,8 +67,65 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+
+def _clusters(k: int = 40, rounds: int = 5, width: int = 64) -> str:
+    """One assignment and one move of the centroids per round, then the last assignment."""
+    far = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    assigned = f"""a{{0}} AS MATERIALIZED (
+  SELECT r, min({{{{'d': {far}, 'c': cluster}}}}) AS best FROM kept, c{{0}} GROUP BY r
+)"""
+    moved = f"""c{{1}} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.c, c{{0}}.c) AS c FROM c{{0}} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT best['c'] AS cluster, i, sum(v[i])::BIGINT AS s, count(*) AS n
+      FROM a{{0}} JOIN kept USING (r), range(1, {width + 1}) AS t(i) GROUP BY ALL
+    ) GROUP BY cluster
+  ) m USING (cluster)
+)"""
+    steps = ",\n".join(assigned.format(i) + ",\n" + moved.format(i, i + 1) for i in range(rounds))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS cluster, v AS c FROM kept QUALIFY cluster < {k}
+),
+{steps},
+{assigned.format(rounds)}
+SELECT vec_id, best['c']::INTEGER AS cluster, best['d']::BIGINT AS distance,
+  (sum(best['d']) OVER (PARTITION BY best['c']))::BIGINT AS cluster_inertia, (sum(best['d']) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} ON best['c'] = cluster
+"""
+
+
+_TERMS = (
+    "unnest(regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"
+)
+
+RANKED = f"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+terms AS (SELECT r, doc_id, {_TERMS.format('text')} FROM rows),
+held AS (SELECT r, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM held GROUP BY r),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term
+), asked AS (SELECT DISTINCT a, item_id, term FROM (
+  SELECT row_number() OVER () AS a, item_id, {_TERMS.format('text')} FROM benchmark)
+), scored AS (
+  SELECT a, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (r), totals GROUP BY ALL
+)
+SELECT item_id, (row_number() OVER (PARTITION BY a ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": JACCARD,
     "op6_substring_dedup": SUBSTRING,
     "op7_chat_formatting": CHAT,
+    "op11_centroid_clustering": _clusters(),
+    "op13_ranked_search": RANKED,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, imatch, packing, quality, sharding, token_store, url_filter
+from . import bpe, chat, dual_tree, heap_clusters, imatch, packing, quality, sharding, token_store, url_filter
 from .jaccard_join import near_duplicates
 from .oracle import ORACLES  # noqa: F401
 from .substring import repeat_report
@@ -131,6 +131,17 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings in 40 clusters after five rounds, with what the clusters sum to."""
+    assigned, centroids = heap_clusters.cluster(_table(spark, sf, "embeddings"), k=40, rounds=5, width=64, salt="2")
+    return heap_clusters.report(assigned, centroids)
+
+
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return dual_tree.ranked_search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -144,5 +155,7 @@ QUERIES: dict[str, Query] = {
         op8_fingerprints,
         op9_token_store,
         op10_quality_rules,
+        op11_centroid_clustering,
+        op13_ranked_search,
     )
 }

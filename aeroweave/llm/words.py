@@ -64,9 +64,12 @@ def row_slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[i
         start = stop
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each row the number of its first word (``n + 1`` values)."""
-    solid = ~_SPACE[raw]
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each row the number of its first word (``n + 1`` values).
+
+    ``between`` marks the byte values that part words.
+    """
+    solid = ~between[raw]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
