@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe, chat, dual_tree, heap_clusters, imatch, packing, quality, sharding, token_store, url_filter
+from . import bpe, chat, dual_tree, heap_clusters, imatch, packing, pii, quality, sharding, token_store, url_filter
 from .jaccard_join import near_duplicates
 from .oracle import ORACLES  # noqa: F401
 from .substring import repeat_report
@@ -137,6 +137,21 @@ def op11_centroid_clustering(spark: SparkSession, sf: str) -> DataFrame:
     return heap_clusters.report(assigned, centroids)
 
 
+def op12_pii(spark: SparkSession, sf: str) -> DataFrame:
+    """Personal data in all texts: what the base patterns find, and with what a fitted field adds."""
+    docs = _table(spark, sf, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(kind) for kind in pii.KINDS),
+        F.sha2(listed("base"), 256).alias("base_sha256"),
+        listed("spans").alias("spans"),
+        (F.size("spans") - F.size("base")).cast("bigint").alias("n_added"),
+    )
+
+
 def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     """The 50 best of all documents for every benchmark item."""
     return dual_tree.ranked_search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), k=50)
@@ -156,6 +171,7 @@ QUERIES: dict[str, Query] = {
         op9_token_store,
         op10_quality_rules,
         op11_centroid_clustering,
+        op12_pii,
         op13_ranked_search,
     )
 }
