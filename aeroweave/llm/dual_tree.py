@@ -28,7 +28,7 @@ from .shared import stored
 #: Item text in one block; also bounds its vocabulary, to half as many terms.
 BLOCK_BYTES = 256 * 1024
 #: Documents per packed row, documents and items per leaf.
-ROW_DOCS, DOC_LEAF, ITEM_LEAF = 2048, 64, 16
+ROW_DOCS, DOC_LEAF, ITEM_LEAF = 2048, 32, 8
 #: Tasks whose candidates are merged in a first step.
 MERGED_TASKS = 64
 _ROW = "terms_df array<int>, counts_df array<int>, n_docs bigint, n_terms bigint, doc_ids array<bigint>, lengths array<int>, ends binary, terms binary, tfs binary"

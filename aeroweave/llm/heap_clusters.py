@@ -95,6 +95,14 @@ class Bounds:
         return heaps, places, old, new
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """``floor(256 * x)``; raises where squared distances would not fit in a long."""
+    x = np.floor(256 * x)
+    if np.abs(x).max(initial=0) > LARGEST:
+        raise ValueError(f"a vector component is beyond {LARGEST / 256}: its squared distances do not fit in a long")
+    return x.astype(np.int64)
+
+
 def _pack(width: int):
     def pack(batches):
         number = TaskContext.get().partitionId() << 33
@@ -111,10 +119,7 @@ def _pack(width: int):
 
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            x = np.floor(256 * flat)
-            if np.abs(x).max(initial=0) > LARGEST:
-                raise ValueError(f"a vector component is beyond {LARGEST / 256}: its squared distances do not fit in a long")
-            x = x.astype(np.int64)
+            x = _whole(flat)
             at = 0
             while at < len(x):
                 take = min(BLOCK - waiting, len(x) - at)
@@ -188,7 +193,22 @@ def seeds(vectors: DataFrame, k: int, salt: str) -> np.ndarray:
     """The ``k`` vectors whose ``sha256(salt:id)`` is smallest, in that order, as whole numbers."""
     first = vectors.select(F.sha2(F.concat(F.lit(f"{salt}:"), F.col("vec_id").cast("string")), 256).alias("h"), "vector")
     rows = first.orderBy(F.asc_nulls_last("h"), "vector").limit(k).collect()
-    return np.array([[math.floor(256 * x) for x in r.vector] for r in rows], np.int64)
+    return _whole(np.array([r.vector for r in rows], float))
+
+
+def _placed(packed: DataFrame) -> DataFrame:
+    """Blocks hashed to a fixed number of partitions and checkpointed, so that rounds exchange states only.
+
+    A checkpoint remembers partitioning and order unless its plan was adaptive.
+    """
+    spark = packed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return materialize(packed.repartition(parts, "block").sortWithinPartitions("block"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, width: int = 64, salt: str = "2") -> tuple[DataFrame, np.ndarray]:
@@ -210,9 +230,7 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, width: int = 64, s
     centroids = seeds(kept, k, salt)
     if not len(centroids):
         return spark.createDataFrame([], "vec_id bigint, cluster int, distance bigint"), centroids
-    blocks = materialize(
-        kept.mapInArrow(_pack(width), "block bigint, ids array<bigint>, vectors binary").repartition("block").sortWithinPartitions("block")
-    )
+    blocks = _placed(kept.mapInArrow(_pack(width), "block bigint, ids array<bigint>, vectors binary"))
     state = spark.createDataFrame([], _STATE)
     bounds = Bounds(centroids)
     counts = [0] * len(centroids)

@@ -44,7 +44,7 @@ def result(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(result, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     want = con.execute(ORACLES[name]).df()
     assert rows_of(result(name)) == rows_of(want)
