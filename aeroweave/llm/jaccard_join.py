@@ -8,8 +8,8 @@ Components are complete; links are not returned, and pairs that are connected al
 3. Documents with equal sets collapse into a class, classes with equal prefix and size into a group.
 4. Groups that share a prefix shingle are candidates. First every group is held only against one
    group of its list (a star), then whole lists are searched, but only where classes are not
-   connected yet: size and sketch bounds drop pairs that cannot link, the rest is expanded
-   to classes and verified on the texts.
+   connected yet: pairs of groups are filtered by size, by the places of the common shingle (it must be able to
+   be the first common one) and by sketches; those left are expanded to classes and verified on the texts.
 5. Components of the verified links, handed back to all copies.
 
 Everything keyed by a shingle is a join that Spark can split where a shingle is hot; a list is never
@@ -30,6 +30,8 @@ from .components import connected_components
 from .shared import stored
 
 _SKETCH_LONGS = 8
+#: Longest parity sketch that goes along with a prefix shingle, in bits (one bit per shingle below that).
+MIDDLE_BITS = 4096
 #: Shingles in more than this share of all documents go last in the order. At most
 #: (shingles per document / FREQUENT) of them can exist, whatever the number of documents.
 FREQUENT = 1 / 1000
@@ -82,10 +84,18 @@ def frequent_shingles(docs: DataFrame, width: int, share: float = FREQUENT) -> t
     return value[order], pairs[order, 1]
 
 
+def _parities(hashed: np.ndarray, row: np.ndarray, bits: np.ndarray) -> pa.ListArray:
+    """For each row a sketch of ``bits[row]`` bits: how often each was hit by the row's shingles, odd or even."""
+    edge = np.concatenate([[0], np.cumsum(bits)])
+    bit = edge[row] + (W.mix(hashed) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=edge[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array((edge // 64).astype(np.int32)), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
 def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One lean row per document: size, digest, prefix hash, prefix and sketch."""
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, width))
-    names = ["doc_id", "n", "d1", "d2", "g", "prefix", *(f"s{i}" for i in range(_SKETCH_LONGS)), "wide"]
+    names = ["doc_id", "n", "d1", "d2", "g", "prefix", *(f"s{i}" for i in range(_SKETCH_LONGS)), "wide", "middle"]
 
     def describe(batches):
         value, count = frequent.value
@@ -108,10 +118,6 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 odd = (np.bincount(bit, minlength=m * 64 * _SKETCH_LONGS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd, bitorder="little").view(np.int64).reshape(m, _SKETCH_LONGS)
                 width_bits = 2 ** np.maximum(np.ceil(np.log2(np.maximum(n, 1))), 9).astype(np.int64)
-                edge = np.concatenate([[0], np.cumsum(width_bits)])
-                bit = edge[row] + (W.mix(hashed) & (width_bits[row] - 1).astype(np.uint64)).astype(np.int64)
-                odd = (np.bincount(bit, minlength=edge[-1]) & 1).astype(np.uint8)
-                wide = pa.array(np.packbits(odd, bitorder="little").view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, m),
@@ -123,12 +129,13 @@ def _describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
                             pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(hashed[lead].view(np.int64))
                         ),
                         *(pa.array(sketch[:, i].copy()) for i in range(_SKETCH_LONGS)),
-                        pa.ListArray.from_arrays(pa.array((edge // 64).astype(np.int32)), wide),
+                        _parities(hashed, row, width_bits),
+                        _parities(hashed, row, np.minimum(width_bits, MIDDLE_BITS)),
                     ],
                     names,
                 )
 
-    return docs.mapInArrow(describe, f"{_LEAN}, prefix array<bigint>, {_SKETCH}, wide array<bigint>")
+    return docs.mapInArrow(describe, f"{_LEAN}, prefix array<bigint>, {_SKETCH}, wide array<bigint>, middle array<bigint>")
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -153,10 +160,24 @@ def _screened(pairs: DataFrame, facts: DataFrame, classes: DataFrame, percent: i
         .join(wide.alias("x"), F.col("a") == F.col("x.cls"))
         .join(wide.alias("y"), F.col("b") == F.col("y.cls"))
     )
+    return both.where(_sketches_allow("x.n + y.n", "x.wide", "y.wide", percent)).select("a", "b").distinct()
+
+
+def _sketches_allow(total: str, p: str, q: str, percent: int) -> Column:
+    """Whether two parity sketches leave room for a link; the longer is folded to the other, which keeps the bound."""
     fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, 1 + size({1}), size({1})), (p, q) -> p ^ q), {0})"
-    both = both.select("a", "b", F.expr("x.n + y.n").alias("n"), F.expr(fold.format("x.wide", "y.wide")).alias("p"), F.expr(fold.format("y.wide", "x.wide")).alias("q"))
-    differ = "aggregate(zip_with(p, q, (u, v) -> bit_count(u ^ v)), 0, (t, u) -> t + u)"
-    return both.where(F.expr(f"size(p) <> size(q) or {differ} * {100 + percent} <= n * {100 - percent}")).select("a", "b").distinct()
+    p, q = fold.format(p, q), fold.format(q, p)
+    differ = f"aggregate(zip_with({p}, {q}, (u, v) -> bit_count(u ^ v)), 0, (t, u) -> t + u)"
+    return F.expr(f"size({p}) <> size({q}) or {differ} * {100 + percent} <= ({total}) * {100 - percent}")
+
+
+def _may_be_first(x: str, y: str, percent: int) -> Column:
+    """Whether a shingle at these places of two prefixes can be the first common one of a linked pair.
+
+    All common shingles stand at or after the first, so those that are left must reach the overlap a link needs.
+    """
+    overlap = f"({percent} * ({x}.n + {y}.n) + {99 + percent}) div {100 + percent}"
+    return F.expr(f"{x}.pos + {overlap} <= {x}.n and {y}.pos + {overlap} <= {y}.n")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -224,10 +245,10 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     # prefix shingles of one class per group, where another group has the shingle too
     leaders = classes.where("cls = gid").select(F.col("cls").alias("doc_id"), "d1", "d2", "n")
     tokens = facts.join(leaders, ["doc_id", "d1", "d2", "n"], "left_semi").select(
-        F.explode("prefix").alias("tok"), F.col("doc_id").alias("gid"), "n"
+        F.posexplode("prefix").alias("pos", "tok"), F.col("doc_id").alias("gid"), "n"
     )
     lists = tokens.groupBy("tok").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("tok")
-    tokens = stored(tokens.join(lists, "tok"), "tokens")
+    tokens = stored(tokens.join(lists, "tok").distinct(), "tokens")
 
     # star: each group against the group it shares most prefix shingles with, among the smallest of its lists
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
@@ -254,33 +275,60 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
     near = _screened(near, facts, classes, percent)
     known = connected_components(verified(near, docs, width, percent))
 
-    # lists that still hold several components: pairs across them
-    placed = classes.join(known.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "cls", "gid", "n", F.coalesce("component", "cls").alias("comp"), *sketch
-    )
-    several = inner.select(F.col("a").alias("gid")).distinct()
-    listed = tokens.select("tok", "gid").unionByName(
-        # the members of a group share its whole prefix; the group itself is one more list
-        several.select(F.xxhash64(F.lit("group"), "gid").alias("tok"), "gid")
+    # lists that still hold several components: first pairs of groups, then pairs of their classes
+    placed = stored(
+        classes.join(known.withColumnRenamed("node", "cls"), "cls", "left").select(
+            "cls", "gid", "n", F.coalesce("component", "cls").alias("comp"), *sketch
+        ),
+        "placed",
     )
+    single = [F.when(F.count("*") == 1, F.first(c)).alias(c) for c in sketch]
+    members = placed.groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *single)
+    listed = tokens.select("tok", "pos", "gid").join(members.select("gid", "low", "high"), "gid")
+    # the component that most groups of a list belong to: counted first, then compared
     mixed = (
-        listed.join(placed.select("gid", "comp"), "gid")
+        listed.groupBy("tok", "low")
+        .agg(F.count("*").alias("c"), F.max("high").alias("high"))
         .groupBy("tok")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.mode("comp", True).alias("top"))
-        .where("low < high")
-        .select("tok", "top")
+        .agg(F.min("low").alias("l"), F.max("high").alias("h"), F.max(F.struct("c", "low")).alias("top"))
+        .where("l < h")
+        .select("tok", F.col("top.low").alias("top"))
     )
-    entries = stored(listed.join(mixed, "tok").join(placed, "gid"), "entries")
-    pairs = (
-        entries.where("comp <> top")
+    searched = stored(listed.select("tok", "pos", "gid").join(mixed, "tok"), "lists")
+    middles = (
+        facts.join(leaders, ["doc_id", "d1", "d2", "n"], "left_semi")
+        .join(searched.select(F.col("gid").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        .groupBy(F.col("doc_id").alias("gid"))
+        .agg(F.first("middle").alias("middle"))
+    )
+    entries = stored(searched.join(members, "gid").join(middles, "gid"), "entries")
+    apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low)")
+    # a group of several classes has no sketch of its own: its pairs are judged after they are expanded
+    several = F.expr("x.s0 is null or y.s0 is null")
+    met = (
+        entries.where("low <> top or high <> top")
         .alias("x")
         .join(
             entries.alias("y"),
-            F.expr("x.tok = y.tok and x.comp <> y.comp and (y.comp = y.top or x.cls < y.cls)") & _may_link("x", "y", percent),
+            F.expr(
+                "x.tok = y.tok and x.gid <> y.gid and (x.gid < y.gid or (y.low = y.top and y.high = y.top))"
+                f" and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+            )
+            & apart
+            & _may_be_first("x", "y", percent)
+            & (several | (_may_link("x", "y", percent) & _sketches_allow("x.n + y.n", "x.middle", "y.middle", percent))),
         )
-        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+        .select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
         .distinct()
     )
+    inside = members.where("low < high").select(F.col("gid").alias("ga"), F.col("gid").alias("gb"))
+    pairs = (
+        stored(met.unionByName(inside), "groups")
+        .join(placed.alias("x"), F.col("ga") == F.col("x.gid"))
+        .join(placed.alias("y"), F.col("gb") == F.col("y.gid"))
+        .where(F.expr("x.comp <> y.comp and (ga < gb or x.cls < y.cls)") & _may_link("x", "y", percent))
+        .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
+    )
     more = verified(_screened(pairs, facts, classes, percent), docs, width, percent)
     final = connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
