@@ -66,7 +66,9 @@ class Bpe:
         letters, numbers = _class_below(0x250, "L"), _class_below(0x250, "N")
         space = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
-        self.beyond = re.compile("[İȺȾɐ-\U0010ffff]")
+        # letters beyond Latin, and those that lower-case to one
+        leaving = "".join(chr(c) for c in range(0x250) if max(map(ord, chr(c).lower())) >= 0x250)
+        self.beyond = re.compile(f"[{leaving}\u0250-\U0010ffff]")
         self.memory = Memory(REMEMBERED)
         symbols = _byte_symbols()
         self.to_symbols = {b: s for b, s in enumerate(symbols)}

@@ -117,6 +117,24 @@ def test_bpe(odd, empty):
     assert bpe.encode(empty, WORD, decode=True).count() == 0
 
 
+def test_bpe_of_every_code_point():
+    """Every character alone and inside a word, and random mixes of those below U+0300: ids and decoded text of the library."""
+    tokenizer, own = Tokenizer.from_file(WORD), bpe.Bpe(WORD)
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.default_rng(12)
+    low = [c for c in every if ord(c) < 0x300]
+    mixes = ["".join(rng.choice(low, rng.integers(1, 30))) for _ in range(20_000)]
+    # one text per 64 characters: inside words, alone between spaces
+    texts = [f"a{'b a'.join(every[i : i + 64])}b" for i in range(0, len(every), 64)]
+    texts += [" ".join(every[i : i + 64]) for i in range(0, len(every), 64)]
+    texts += [f"a{c}b" for c in low] + low + mixes
+    for at in range(0, len(texts), 5000):
+        part = texts[at : at + 5000]
+        want = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        flat, offsets = own.ids(part)
+        assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
+
+
 def test_urls(spark):
     rules = [("org", "/", "allow"), ("a.org", "/x/", "block")]
     urls = ["http://A.org/x/y?q", "http://b.a.org/x/", "http://a.org", "nourl", None, "", "://", "http://za.org/x/", "ftp://h.com/%zz#f", "http://é.com/\U0001f642", "http://a.org/" + "z" * 50_000]
