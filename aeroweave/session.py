@@ -38,3 +38,19 @@ def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts lineage, survives executor loss, keeps the partitioning."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize_placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Reliable checkpoint of rows hashed by ``keys`` to a fixed number of partitions, in the order of the keys.
+
+    Joins and aggregates on the keys then leave these rows where they are. A checkpoint remembers partitioning and order
+    only if its plan was not adaptive, so adaptive planning is off for this one job.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return materialize(df.repartition(parts, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

@@ -262,5 +262,41 @@ def test_policy_sweep_finds_unmoved_pairs_once(make_flights, policy, monkeypatch
         assert r.action_idx == search([("s", axis[r.ix], axis[r.iy], 0, 10)] + fleet[1:], TABLE)[0][r.ord]
 
 
+def test_crowded_cell_has_an_edge_per_aircraft(make_flights, policy):
+    """Copies of few states: rows of pairs grow with aircraft, not with their square, and answers stay those of the tasks."""
+    def crowd(copies):
+        rows = [("c", 0, 0, 0.5, 12)] * copies + [("c", 300, -200, 2.0, 15)] * copies + [("c", 900, 400, 4.0, 18)]
+        return make_flights(rows + [("g", 250 * i, -150 * i, i, 11) for i in range(6)])
+
+    edges = {}
+    for copies in (60, 240):
+        trace = []
+        got = resolve_conflicts(crowd(copies), policy, max_group_pairs=0, max_iter=2, trace=trace)
+        assert sorted(got.collect()) == sorted(resolve_conflicts(crowd(copies), policy, max_iter=2).collect())
+        edges[copies] = trace[0]["edges"].count()
+    assert edges[240] < 4.2 * edges[60] and edges[240] < 4 * 2 * 240
+
+
+def test_only_aircraft_behind_a_change_answer_again(spark, policy):
+    """A chain of neighbours: what answers in a sweep stays below aircraft times rounds."""
+    chain = spark.range(2000).selectExpr(
+        "'chain' as conflict_id", "concat('f', id) as flight_id", "id as ord", "cast(1500 * id as double) as lat", "cast(id % 7 * 90 as double) as lon",
+        "(id * 37) % 628 / 100.0D as heading", "10 + (id * 13) % 100 / 10.0D as speed",
+    )
+    trace = []
+    got = resolve_conflicts(chain, policy, max_group_pairs=0, max_iter=2, trace=trace)
+    assert sorted(got.collect()) == sorted(resolve_conflicts(chain, policy, max_iter=2).collect())
+    for sweep in trace:
+        rounds = sweep["answered"]
+        assert rounds[0] == 2000 and len(rounds) > 1 and sum(rounds) < 0.7 * 2000 * len(rounds)
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_a_repeated_position_raises(make_flights, policy, limit):
+    flights = make_flights([("g", 100 * i, 50 * i, i, 12) for i in range(4)]).withColumn("ord", F.when(F.col("ord") > 0, F.col("ord") - 1).otherwise(0))
+    with pytest.raises(Exception, match="ord is not unique"):
+        resolve_conflicts(flights, policy, max_group_pairs=limit).collect()
+
+
 def test_registered_sweep_covers_the_reference_square():
     assert SWEEP_METRES[0] == -2500.0 and SWEEP_METRES[-1] == 2500.0 and len(SWEEP_METRES) > 2
