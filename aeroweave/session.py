@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +56,22 @@ def materialize_placed(df: DataFrame, *keys: str) -> DataFrame:
         return materialize(df.repartition(parts, *keys).sortWithinPartitions(*keys))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+@contextmanager
+def state_store(spark: SparkSession, bounded: bool = False) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which keyed state with maps, timers and expiry needs.
+
+    Processing-time timers ask for one batch after another, so a ``bounded`` run would never end with batches without data.
+    """
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if bounded:
+        wanted["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -3,4 +3,6 @@
 from .advise import advise_stream, start_advise
 from .ingest import assemble_stream, ingest_stream, start_ingest
 
-__all__ = ["advise_stream", "assemble_stream", "ingest_stream", "start_advise", "start_ingest"]
+from .parts import whole_messages
+
+__all__ = ["advise_stream", "assemble_stream", "ingest_stream", "start_advise", "start_ingest", "whole_messages"]

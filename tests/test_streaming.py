@@ -122,6 +122,38 @@ def test_parts_over_two_batches_wait_for_each_other(spark, make_flights, policy)
     assert actions(read_messages(spark, "advisory", "json", {"path": root})) == actions(advise(flights, policy))
 
 
+def advise_some(spark, root, rows, policy, **options):
+    write_messages(spark.createDataFrame(rows, "key string, value string"), "conflict", "json", {"path": root})
+    start_advise(
+        read_stream(spark, "conflict", "json", {"path": root}), policy, f"{root}/checkpoint", format="json",
+        options={"path": root}, trigger={"availableNow": True}, rejects="rejects", **options,
+    ).awaitTermination()
+    return sorted(r.key for r in read_messages(spark, "advisory", "json", {"path": root}).collect())
+
+
+def test_a_message_delivered_again_in_a_later_batch_is_dropped(spark, make_flights, policy):
+    root = scratch_path(spark, "again")
+    groups = make_flights([("g", 100 * i, 50 * i, i, 12) for i in range(4)] + [("h", 90 * i, -70 * i, i, 11) for i in range(9)])
+    whole = keyed(assemble_conflict(groups.where("conflict_id = 'g'"))).collect()
+    parts = keyed(assemble_conflict(groups.where("conflict_id = 'h'"), 4)).orderBy("key").collect()
+    assert len(parts) == 3
+    assert advise_some(spark, root, whole + parts[:2], policy) == ["g"]
+    assert advise_some(spark, root, whole + parts[2:], policy) == ["g", "h"]
+    assert advise_some(spark, root, whole + parts[1:2], policy) == ["g", "h"]
+    assert advise_some(spark, root, [("g", whole[0].value.replace("g-3", "g-9"))], policy) == ["g", "g", "h"]  # another message of that key
+
+
+def test_parts_that_never_complete_are_given_up(spark, make_flights, policy):
+    root = scratch_path(spark, "orphan")
+    parts = keyed(assemble_conflict(make_flights([("h", 90 * i, -70 * i, i, 11) for i in range(9)]), 4)).orderBy("key").collect()
+    whole = keyed(assemble_conflict(make_flights([("g", 100 * i, 50 * i, i, 12) for i in range(4)]))).collect()
+    assert advise_some(spark, root, parts[:2], policy, patience=0.001) == []
+    assert advise_some(spark, root, whole, policy, patience=0.001) == ["g"]
+    lost = read_messages(spark, "rejects", "json", {"path": root}).select("key", "value").collect()
+    assert sorted(lost) == sorted(parts[:2])
+    assert advise_some(spark, root, parts[2:], policy, patience=0.001) == ["g"]  # too late
+
+
 def test_a_repeated_batch_is_published_once(spark):
     root = scratch_path(spark, "replay")
     rows = spark.createDataFrame([("k", "v")], "key string, value string")
