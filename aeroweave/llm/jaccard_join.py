@@ -31,7 +31,7 @@ from .shared import stored
 
 _SKETCH_LONGS = 8
 #: Longest parity sketch that goes along with a prefix shingle, in bits (one bit per shingle below that).
-MIDDLE_BITS = 4096
+MIDDLE_BITS = 2048
 #: Shingles in more than this share of all documents go last in the order. At most
 #: (shingles per document / FREQUENT) of them can exist, whatever the number of documents.
 FREQUENT = 1 / 1000
@@ -248,7 +248,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         F.posexplode("prefix").alias("pos", "tok"), F.col("doc_id").alias("gid"), "n"
     )
     lists = tokens.groupBy("tok").agg(F.min("gid").alias("low"), F.max("gid").alias("high")).where("low < high").select("tok")
-    tokens = stored(tokens.join(lists, "tok").distinct(), "tokens")
+    tokens = stored(tokens.join(lists, "tok"), "tokens")
 
     # star: each group against the group it shares most prefix shingles with, among the smallest of its lists
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))) if percent < 100 else F.col("n")
@@ -282,8 +282,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         ),
         "placed",
     )
-    single = [F.when(F.count("*") == 1, F.first(c)).alias(c) for c in sketch]
-    members = placed.groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *single)
+    members = placed.groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
     listed = tokens.select("tok", "pos", "gid").join(members.select("gid", "low", "high"), "gid")
     # the component that most groups of a list belong to: counted first, then compared
     mixed = (
@@ -294,17 +293,16 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
         .where("l < h")
         .select("tok", F.col("top.low").alias("top"))
     )
-    searched = stored(listed.select("tok", "pos", "gid").join(mixed, "tok"), "lists")
-    middles = (
+    # a group of several classes has no sketch of its own: its pairs are judged after they are expanded
+    sketched = (
         facts.join(leaders, ["doc_id", "d1", "d2", "n"], "left_semi")
-        .join(searched.select(F.col("gid").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .groupBy(F.col("doc_id").alias("gid"))
-        .agg(F.first("middle").alias("middle"))
+        .agg(F.first("n").alias("n"), F.first("middle").alias("middle"))
+        .join(members.select("gid", "size"), "gid")
+        .select("gid", "n", F.expr("if(size = 1, middle, null)").alias("middle"))
     )
-    entries = stored(searched.join(members, "gid").join(middles, "gid"), "entries")
+    entries = stored(listed.join(mixed, "tok").join(sketched, "gid"), "entries")
     apart = F.expr("not (x.low = x.high and y.low = y.high and x.low = y.low)")
-    # a group of several classes has no sketch of its own: its pairs are judged after they are expanded
-    several = F.expr("x.s0 is null or y.s0 is null")
     met = (
         entries.where("low <> top or high <> top")
         .alias("x")
@@ -316,7 +314,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80) ->
             )
             & apart
             & _may_be_first("x", "y", percent)
-            & (several | (_may_link("x", "y", percent) & _sketches_allow("x.n + y.n", "x.middle", "y.middle", percent))),
+            & (F.expr("x.middle is null or y.middle is null") | _sketches_allow("x.n + y.n", "x.middle", "y.middle", percent)),
         )
         .select(F.least("x.gid", "y.gid").alias("ga"), F.greatest("x.gid", "y.gid").alias("gb"))
         .distinct()
