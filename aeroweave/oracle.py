@@ -556,7 +556,5 @@ FROM path WHERE step > 0""",
     )} AS lat, {_r(f"speed + 5 * {_noise('seq', 'speed', 1)}")} AS speed FROM reports""",
     "ingest_stream": _with(REPORTS, FLIGHTS)
     + f"""SELECT CAST(CAST(conflict_id AS BIGINT) * {GROUP_SECONDS * 1000} AS VARCHAR) AS conflict_id,
-  flight_id, {_ROUNDED_STATE} FROM flights
-WHERE (CAST(conflict_id AS BIGINT) + 1) * {GROUP_SECONDS * 1000} <=
-  (SELECT max(event_us) // 1000 - 600000 FROM reports)""",
+  flight_id, {_ROUNDED_STATE} FROM flights""",
 }

@@ -67,7 +67,7 @@ from .sources import (
     write_messages,
 )
 from .sources.conflict import part_key, read_part_key
-from .streaming import start_advise, start_ingest
+from .streaming import close_ingest, start_advise, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -778,7 +778,7 @@ def _publish_status(spark, sf, root: str) -> None:
 
 
 def ingest_stream_query(spark, sf):
-    """Status files streamed into conflict messages per closed window, then decoded."""
+    """Status files streamed into conflict messages per window, the last ones closed at the end, then decoded."""
     root = scratch_path(spark, "ingest")
     _publish_status(spark, sf, root)
     query = start_ingest(
@@ -787,6 +787,7 @@ def ingest_stream_query(spark, sf):
         trigger={"availableNow": True},
     )
     query.awaitTermination()
+    close_ingest(spark, f"{root}/checkpoint", format="parquet", options={"path": root})
     messages = read_messages(spark, "conflict", "parquet", {"path": root})
     states = decode_conflict_group(split_conflict_groups(messages.select("key", "value"), key="key"))
     return _rounded(states.drop("ord"), *_STATE)

@@ -1,8 +1,18 @@
 """Structured Streaming queries of the three stages."""
 
 from .advise import advise_stream, start_advise
-from .ingest import assemble_stream, ingest_stream, start_ingest
+from .ingest import assemble_stream, close_ingest, ingest_stream, late_reports, open_windows, start_ingest
 
 from .parts import whole_messages
 
-__all__ = ["advise_stream", "assemble_stream", "ingest_stream", "start_advise", "start_ingest", "whole_messages"]
+__all__ = [
+    "advise_stream",
+    "assemble_stream",
+    "close_ingest",
+    "ingest_stream",
+    "late_reports",
+    "open_windows",
+    "start_advise",
+    "start_ingest",
+    "whole_messages",
+]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -32,6 +32,10 @@ def ingest_stream(
         states.withWatermark("event_ts", delay).withColumn("seq", tie),
         keys=(F.window("event_ts", window), "flight_id"),
     )
+    return _flights(latest)
+
+
+def _flights(latest: DataFrame) -> DataFrame:
     return latest.select(
         F.unix_millis("window.start").cast("string").alias("conflict_id"),
         "flight_id",
@@ -43,6 +47,39 @@ def ingest_stream(
     )
 
 
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What the windows that a stopped ``start_ingest`` has not closed hold so far, read from its state store.
+
+    The same columns as ``ingest_stream``. These are the windows behind the last watermark: the end of a stream that went quiet.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    return _flights(state.select("key.*", "value.valueWithExtremumOrdering.*"))
+
+
+def close_ingest(
+    spark: SparkSession,
+    checkpoint: str,
+    topic: str = "conflict",
+    format: str = "kafka",
+    options: dict[str, str] | None = None,
+    max_records: int = 50_000,
+) -> None:
+    """Publish the windows that are still open after a stopped run, as a batch of its own that a repeat replaces.
+
+    For the end of a bounded run, or a stream that stays quiet. The stream may be resumed; a window that was closed here is then published
+    again, with the same name and all its reports, once the watermark passes it.
+    """
+    write_messages(assemble_stream(open_windows(spark, checkpoint), max_records), topic, format, options, batch_id=-1)
+
+
+def late_reports(query: StreamingQuery) -> int:
+    """Reports that came after their window had closed, in the batches whose progress the query remembers.
+
+    Reports of one aircraft, window and task are combined before they are counted.
+    """
+    return sum(state.numRowsDroppedByWatermark for p in query.recentProgress for state in p.stateOperators)
+
+
 def assemble_stream(flights: DataFrame, max_records: int = 50_000) -> DataFrame:
     """Conflict messages ``(key, value)`` of a batch of closed windows; large windows come in parts that say so."""
     parts = assemble_conflict(flights, max_records)

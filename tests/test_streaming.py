@@ -18,7 +18,7 @@ from aeroweave.sources import (
     split_conflict_groups,
     write_messages,
 )
-from aeroweave.streaming import advise_stream, ingest_stream, start_advise, start_ingest
+from aeroweave.streaming import advise_stream, close_ingest, ingest_stream, late_reports, open_windows, start_advise, start_ingest
 
 NOON = dt.datetime(2024, 1, 1, 12, 0, 0)
 
@@ -32,12 +32,16 @@ def publish(spark, root, topic, rows):
     write_messages(spark.createDataFrame(rows, MESSAGE).coalesce(1), topic, "json", {"path": root})
 
 
+late: list[int] = []
+
+
 def run_ingest(spark, root, **options):
     query = start_ingest(
         read_stream(spark, "status", "json", {"path": root}), f"{root}/checkpoint", format="json",
         options={"path": root}, trigger={"availableNow": True}, **options,
     )
     query.awaitTermination()
+    late.append(late_reports(query))
     messages = read_messages(spark, "conflict", "json", {"path": root})
     decoded = decode_conflict_group(split_conflict_groups(messages.select("key", "value"), key="key"))
     millis = int(NOON.timestamp() * 1000)
@@ -54,11 +58,18 @@ def test_windows_latest_reports_late_rows_and_resume(spark, monkeypatch):
     got = run_ingest(spark, root)
     shift = min(k[0] for k in got)
     assert {(k[0] - shift, k[1]): v for k, v in got.items()} == {(0, "a"): 2.0, (0, "b"): 0.0, (1, "a"): 0.0}
+    # the end of the stream: what the watermark has not passed is read from the state
+    assert {(r.flight_id, r.lat) for r in open_windows(spark, f"{root}/checkpoint").collect()} == {("z", 0.0)}
     # the restarted query continues: second 20 closes, the report for second 0 comes too late
     publish(spark, root, "status", [status("late", 0.3), status("c", 20.5), status("z", 40)])
     again = run_ingest(spark, root)
     new = {(k[0] - shift, k[1]) for k in again} - {(k[0] - shift, k[1]) for k in got}
     assert new == {(20, "z"), (20, "c")}
+    assert late == [0, 1]
+    for _ in range(2):  # closing is repeatable
+        close_ingest(spark, f"{root}/checkpoint", format="json", options={"path": root})
+    messages = read_messages(spark, "conflict", "json", {"path": root})
+    assert messages.count() == 4 and messages.where("value like 'z%'").count() == 1
 
 
 def test_ingest_state_is_keyed_by_aircraft(spark):
