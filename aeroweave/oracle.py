@@ -554,6 +554,13 @@ FROM path WHERE step > 0""",
     + f"""SELECT seq AS event_id, {_r(
         f"lat + 10 * sqrt(-2 * ln({_noise('seq', 'lat', 1)})) * cos(2 * pi() * {_noise('seq', 'lat', 14)})"
     )} AS lat, {_r(f"speed + 5 * {_noise('seq', 'speed', 1)}")} AS speed FROM reports""",
+    "apply_advisories_stream": _with(
+        REPORTS,
+        """issued AS (SELECT flight_id, seq, event_us - CASE WHEN seq % 3 = 0 THEN 2000000 ELSE 60000000 END AS issued_us
+  FROM reports WHERE seq % 3 < 2)""",
+    )
+    + f"""SELECT r.seq AS event_id, coalesce(a.seq, -1) AS advisory_id, {_r('CAST(a.seq % 7 AS DOUBLE) / 40')} AS turn_rate
+FROM reports r LEFT JOIN issued a ON a.flight_id = r.flight_id AND issued_us <= event_us AND issued_us > event_us - 5000000""",
     "ingest_stream": _with(REPORTS, FLIGHTS)
     + f"""SELECT CAST(CAST(conflict_id AS BIGINT) * {GROUP_SECONDS * 1000} AS VARCHAR) AS conflict_id,
   flight_id, {_ROUNDED_STATE} FROM flights""",

@@ -67,7 +67,7 @@ from .sources import (
     write_messages,
 )
 from .sources.conflict import part_key, read_part_key
-from .streaming import close_ingest, start_advise, start_ingest
+from .streaming import apply_advisories_stream, close_ingest, start_advise, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -808,6 +808,30 @@ def advise_stream_query(spark, sf):
     return _advisory_output(decoded, "conflict_id")
 
 
+def apply_advisories_stream_query(spark, sf):
+    """Two file streams joined by aircraft and time: a third of the reports follow their advisory in time, a third too late.
+
+    A last row on each side, a day after all others, lets the watermark pass them.
+    """
+    root = scratch_path(spark, "in-force")
+    seq = F.col("seq")
+    reports = fixtures.reports(spark, sf).select("flight_id", seq.alias("event_id"), "event_us")
+    end = reports.agg(F.lit("end").alias("flight_id"), F.lit(-1).cast("bigint").alias("event_id"), (F.max("event_us") + 86_400_000_000).alias("event_us"))
+    states = reports.unionByName(end).select("flight_id", "event_id", F.timestamp_micros("event_us").alias("event_ts"))
+    ahead = F.when(F.col("event_id") % 3 == 0, 2).otherwise(60) * 1_000_000
+    issued = reports.where("event_id % 3 < 2").withColumn("event_us", F.col("event_us") - ahead).unionByName(end)
+    advisories = issued.select(
+        "flight_id", F.col("event_id").alias("advisory_id"), F.timestamp_micros("event_us").alias("issued_ts"), (F.col("event_id") % 7 / 40).alias("turn_rate")
+    )
+    for name, side in (("states", states), ("advisories", advisories)):
+        side.write.parquet(f"{root}/{name}")
+    streams = [spark.readStream.schema(side.schema).parquet(f"{root}/{name}") for name, side in (("states", states), ("advisories", advisories))]
+    joined = apply_advisories_stream(*streams).writeStream.format("parquet").outputMode("append")
+    joined.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    found = spark.read.parquet(f"{root}/out").where("event_id >= 0")
+    return found.select("event_id", F.coalesce("advisory_id", F.lit(-1)).alias("advisory_id"), _r("turn_rate").alias("turn_rate"))
+
+
 _SUFFIX = "_query"
 
 QUERIES: dict[str, Query] = {
