@@ -64,8 +64,8 @@ def _repeated_words(words: Column) -> Column:
     return F.when(last <= 0, F.lit(0)).otherwise(_let(shifted(words), count))
 
 
-def statistics(documents: DataFrame) -> DataFrame:
-    """``documents`` plus a struct ``stats`` of counts over the whole text (NULL: none)."""
+def _counts() -> Column:
+    """A struct of counts over the whole ``text`` (NULL: none)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     drop = lambda t, chars: F.char_length(t) - F.char_length(F.translate(t, chars, ""))
@@ -78,7 +78,7 @@ def statistics(documents: DataFrame) -> DataFrame:
             _repeated_words(words).cast("bigint").alias("n_repeat_words"),
         )
 
-    stats = F.struct(
+    return F.struct(
         _let(_words(text), of_words).alias("w"),
         (F.char_length(text) - drop(text, " " + _SPACES)).cast("bigint").alias("word_chars"),
         drop(text, SYMBOLS).cast("bigint").alias("n_symbols"),
@@ -88,7 +88,11 @@ def statistics(documents: DataFrame) -> DataFrame:
         drop(text, upper).cast("bigint").alias("n_upper"),
         drop(text, ".,;:!?").cast("bigint").alias("n_marks"),
     )
-    return documents.withColumn("stats", stats)
+
+
+def statistics(documents: DataFrame) -> DataFrame:
+    """``documents`` plus a struct ``stats`` of counts over the whole text (NULL: none)."""
+    return documents.withColumn("stats", _counts())
 
 
 def base_failed(stats: Column) -> Column:
@@ -197,7 +201,7 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], most: int = 12
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> list[Rule]:
-    """Rules for documents of quality 0, from at most ``SAMPLE`` labelled documents that pass the base rules.
+    """Rules for documents of quality 0, from those of at most ``SAMPLE`` labelled rows that pass the base rules.
 
     Rows without an id or a label teach nothing; of repeated labels of an id all count. Without both kinds of labels
     there are no rules, and everything the base rules pass is kept.
@@ -205,16 +209,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> list[Rule]:
     named = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality")
     chosen = named.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     told = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    told = statistics(told).where(~base_failed(F.col("stats")))
-    found = features(F.col("stats"))
-    rows = told.select("quality", *(c.alias(name) for name, c in found.items())).collect()
+    names = list(features(F.col("stats")))
+
+    def described(counts: Column) -> Column:
+        return F.struct(base_failed(counts).alias("failed"), *(c.alias(name) for name, c in features(counts).items()))
+
+    told = told.select("quality", _let(_counts(), described).alias("f")).select("quality", "f.*")
+    # an id may have any number of rows: the bound holds after the join
+    bounded = told.orderBy(F.xxhash64(*told.columns), *told.columns).limit(SAMPLE)
+    rows = sorted((r.quality, *(r[name] for name in names)) for r in bounded.collect() if not r.failed)
     if not rows:
         return []
-    rows = sorted(tuple(r) for r in rows)
     bad = np.array([r[0] == 0 for r in rows])
     if bad.all() or not bad.any():
         return []
-    return learn_rules(np.array([r[1:] for r in rows], float), bad, list(found))
+    return learn_rules(np.array([r[1:] for r in rows], float), bad, names)
 
 
 def rejected_by(rules: list[Rule], found: dict[str, Column]) -> Column:
@@ -234,14 +243,17 @@ def judge(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     NULL and empty texts have no words and fail. Rows are judged one by one, so repeated ones alike; ids do not
     matter. Input columns with one of the new names are replaced. An empty table gives no rows.
     """
-    described = statistics(documents)
-    stats = F.col("stats")
-    judged = described.withColumns({"base_failed": base_failed(stats), "rule": rejected_by(rules, features(stats))})
+    def verdict(counts: Column) -> Column:
+        rule = rejected_by(rules, features(counts))
+        return F.struct(counts.alias("stats"), base_failed(counts).alias("base_failed"), rule.alias("rule"))
+
+    # one value holds all, so the counts are made once
+    judged = documents.withColumn("stats", _let(_counts(), verdict))
+    judged = judged.withColumns({c: F.col("stats")[c] for c in ("base_failed", "rule", "stats")})
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``documents`` that are kept, with its own columns only."""
-    names = documents.columns
-    packed = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").alias("text"))
-    return judge(packed, rules).where("kept").select("row.*")
+    # a filter of its own, in which the counts are made once
+    return documents.where(_let(_counts(), lambda counts: ~base_failed(counts) & (rejected_by(rules, features(counts)) == 0)))

@@ -163,6 +163,32 @@ def test_quality_rules(spark, result, docs):
         assert r.kept == (not r.base_failed and r["rule"] == 0)
 
 
+def test_quality_counts_are_made_once_and_verdicts_are_the_rules(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality.fit(docs, labels)
+    plan = quality.keep_good(docs, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert rules and plan.count("xxhash64(") == quality.statistics(docs)._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(")
+    judged = quality.judge(docs, rules)
+    found = quality.features(judged["stats"])
+    rows = judged.select("kept", "base_failed", "rule", *(c.alias(name) for name, c in found.items())).toPandas()
+    x = rows[list(found)].to_numpy(float)
+    first = np.zeros(len(x), int)
+    for number, rule in reversed(list(enumerate(rules, 1))):
+        first[quality._covers(rule, x, list(found))] = number
+    assert (rows["rule"] == first).all() and (rows.kept == (~rows.base_failed & (first == 0))).all()
+    assert quality.keep_good(docs, rules).count() == rows.kept.sum()
+
+
+def test_fit_collects_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    seen = []
+    monkeypatch.setattr(quality, "learn_rules", lambda x, bad, names: seen.append(len(x)) or [])
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.range(3000).selectExpr("id % 2 as doc_id", f"concat('{text}', ' ', id) as text")
+    quality.fit(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id bigint, quality int"))
+    assert seen == [50]
+
+
 def test_learned_rules_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rules = quality.fit(docs.where("doc_id % 3 <> 0"), labels)
