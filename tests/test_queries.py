@@ -1,5 +1,10 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -46,5 +51,14 @@ def test_query_matches_sql(spark, sql, name):
     assert as_rows(got) == as_rows(want)
 
 
+@pytest.mark.parametrize("gone", [["aeroweave/llm"], ["aeroweave/llm", "corpus_pipeline.py"], ["corpus_pipeline.py"]])
+def test_the_rest_imports_without_the_training_data_operators(tmp_path, gone):
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "tests", "__pycache__", *(os.path.basename(g) for g in gone)))
+    code = "import __spark_entry__ as e; print(sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, check=True).stdout
+    assert ("op1_" in out) == ("aeroweave/llm" not in gone) and "'pipeline'" not in out and all(f"'{name}'" in out for name in OWN)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
