@@ -277,8 +277,9 @@ def test_crowded_cell_has_an_edge_per_aircraft(make_flights, policy):
     assert edges[120] < 4.2 * edges[30] and edges[120] < 4 * 2 * 120
 
 
-def test_only_aircraft_behind_a_change_answer_again(spark, policy):
+def test_only_aircraft_behind_a_change_answer_again(spark, policy, monkeypatch):
     """A chain of neighbours: what answers in a sweep stays below aircraft times rounds."""
+    monkeypatch.setattr(resolve_module, "FRONTIER_FROM", 0)
     chain = spark.range(2000).repartition(4).selectExpr(
         "'chain' as conflict_id", "concat('f', id) as flight_id", "id as ord", "cast(1500 * id as double) as lat", "cast(id % 7 * 90 as double) as lon",
         "(id * 37) % 628 / 100.0D as heading", "10 + (id * 13) % 100 / 10.0D as speed",
