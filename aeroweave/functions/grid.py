@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,13 @@ class Grid:
     def strides(self) -> tuple[int, ...]:
         return tuple(math.prod(len(a) for a in self.cuts[:d]) for d in range(self.dimensions))
 
+    @property
+    def corners(self) -> tuple[tuple[int, tuple[int, ...]], ...]:
+        """Corners of a cell: distance in ``state_idx`` from the lowest one, and the axes on which they lie above it."""
+        wide = [d for d in range(self.dimensions) if len(self.cuts[d]) > 1]
+        above = [axes for n in range(len(wide) + 1) for axes in combinations(wide, n)]
+        return tuple(sorted((sum(self.strides[d] for d in axes), axes) for axes in above))
+
     def _cases(self, coord: Column, dim: int, edge) -> Column:
         """``edge(lo, hi, w_lo, w_hi)`` for the interval or cut that holds the coordinate.
 
@@ -125,12 +133,15 @@ class Grid:
     def interpolate_by_join(
         self, vertices: DataFrame, values: DataFrame, keys: Sequence[str], out: str = "value"
     ) -> DataFrame:
-        """Same sum with the values in a table ``(state_idx, value)``, for grids of any size."""
-        exploded = vertices.select(*keys, F.explode("vertices").alias("v")).select(
-            *keys, F.col("v.state_idx").alias("state_idx"), F.col("v.w").alias("w")
-        )
-        return (
-            exploded.join(values, "state_idx")
-            .groupBy(*keys)
-            .agg(F.sum(F.col("w") * F.col("value")).alias(out))
+        """Same sum with the values in a table ``(state_idx, value)``, for grids of any size.
+
+        A vertex without a value fails the query; a point's vertices are added in their own order.
+        """
+        exploded = vertices.select(*keys, F.posexplode("vertices").alias("at", "v")).select(
+            *keys, "at", F.col("v.state_idx").alias("state_idx"), F.col("v.w").alias("w")
         )
+        missing = F.raise_error(F.concat(F.lit("no value for state "), F.col("state_idx").cast("string")))
+        part = F.when(F.col("value").isNull(), missing).otherwise(F.col("w") * F.col("value"))
+        met = exploded.join(values, "state_idx", "left").select(*keys, F.struct("at", part.alias("x")).alias("part"))
+        listed = met.groupBy(*keys).agg(F.sort_array(F.collect_list("part")).alias("parts"))
+        return listed.select(*keys, F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["x"]).alias(out))

@@ -14,10 +14,12 @@ from .trajectory import (
 )
 from .utility import (
     best_response,
+    brick_table,
     grid_vertices,
     joint_utility,
     pair_belief,
     pair_utility,
+    pair_utility_by_brick,
     pair_utility_by_join,
     worst_case,
 )
@@ -27,6 +29,7 @@ __all__ = [
     "apply_advisories",
     "assemble_conflict",
     "best_response",
+    "brick_table",
     "encode_advisories",
     "encode_status",
     "filter_multi",
@@ -40,6 +43,7 @@ __all__ = [
     "pair_belief",
     "pair_counts",
     "pair_utility",
+    "pair_utility_by_brick",
     "pair_utility_by_join",
     "project_state",
     "project_straight",

@@ -159,6 +159,62 @@ def pair_utility_by_join(
     return listed.select(*keys, total.alias("q"))
 
 
+def brick_table(utility: DataFrame, grid: Grid = Grid()) -> DataFrame:
+    """``(state_idx, corners)``: the utilities at all corners of the cell above each grid point, packed in one row.
+
+    ``corners`` follows :attr:`Grid.corners`; a corner beyond the grid, or without a row in ``utility``, is NULL. The table
+    is 2^d times as long as ``utility`` and is made once; a state that occurs twice fails.
+    """
+    state = F.col("state_idx")
+    index = [F.floor(state / F.lit(stride)) % len(axis) for axis, stride in zip(grid.cuts, grid.strides)]
+    places = []
+    for number, (distance, axes) in enumerate(grid.corners):
+        inside = F.lit(True)
+        for d in axes:
+            inside = inside & (index[d] > 0)
+        place = F.struct((state - distance).cast("int").alias("state_idx"), F.lit(number).alias("corner"))
+        places.append(F.when(inside, place))
+    placed = utility.where((state >= 0) & (state < grid.length)).select(
+        F.explode(F.array_compact(F.array(*places))).alias("at"), "u"
+    )
+    # a cell has 2^d corners, whatever the table
+    cells = placed.groupBy(F.col("at.state_idx").alias("state_idx")).agg(
+        F.map_from_entries(F.collect_list(F.struct("at.corner", "u"))).alias("found")
+    )
+    numbers = F.sequence(F.lit(0), F.lit(len(places) - 1))
+    return cells.select("state_idx", F.transform(numbers, lambda i: F.try_element_at("found", i)).alias("corners"))
+
+
+def pair_utility_by_brick(
+    beliefs: DataFrame,
+    bricks: DataFrame,
+    grid: Grid = Grid(),
+    n_joint: int = N_JOINT,
+    keys: tuple[str, ...] = PAIR_KEYS,
+) -> DataFrame:
+    """The same ``q`` as :func:`pair_utility_by_join` from one row of a :func:`brick_table` per pair.
+
+    The pair's first vertex is the lowest corner of its cell and names the brick; the others lie inside it. Each pair is
+    exchanged once, at most, and nothing is grouped. A vertex without utilities fails the query.
+    """
+    keys = [k for k in keys if k in beliefs.columns]
+    distances = F.array(*[F.lit(distance) for distance, _ in grid.corners])
+    rows = beliefs.where(F.size("vertices") > 0).select(
+        *keys, "vertices", F.get("vertices", F.lit(0))["state_idx"].alias("state_idx")
+    )
+
+    def add(total: Column, vertex: Column) -> Column:
+        number = F.array_position(distances, vertex["state_idx"] - F.col("state_idx")).cast("int") - 1
+        found = F.get("corners", number)
+        state = vertex["state_idx"].cast("string")
+        missing = F.raise_error(F.concat(F.lit("the utility table has no state "), state))
+        u = F.when(found.isNull(), missing).otherwise(found)
+        return F.zip_with(total, u, lambda t, x: t + x * vertex["w"])
+
+    total = F.aggregate("vertices", F.array_repeat(F.lit(0.0), n_joint), add)
+    return rows.join(bricks, "state_idx", "left").select(*keys, total.alias("q"))
+
+
 def action_slice(q: Column, intr_action: Column, n_actions: int = N_ACTIONS) -> list[Column]:
     """Utilities of every own action against one intruder action."""
     return [F.get(q, F.lit(a * n_actions) + intr_action) for a in range(n_actions)]
@@ -227,12 +283,14 @@ __all__ = [
     "action_slice",
     "acted_utility",
     "best_response",
+    "brick_table",
     "clear_utility",
     "fold_terminal",
     "grid_vertices",
     "joint_utility",
     "pair_belief",
     "pair_utility",
+    "pair_utility_by_brick",
     "pair_utility_by_join",
     "terminal_utility",
     "worst_case",

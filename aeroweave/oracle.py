@@ -378,6 +378,25 @@ def _scalar(*names: str) -> str:
     return _CODED + f"SELECT event_id, {', '.join(f'{_SCALARS[n]} AS {n}' for n in names)} FROM valued"
 
 
+_POSITIONS = f"""SELECT 'fid-' || event_id AS gufi, CAST(event_id % 360 AS DOUBLE) AS heading,
+  lon, lat, CAST(10 + event_id % 90 AS DOUBLE) AS speed, epoch_us(ts) AS received_us,
+  epoch_us(ts) AS measured_us, {_r(f'lon * {METRES_PER_DEGREE}', 3)} AS x_m,
+  {_r(f'lat * {METRES_PER_DEGREE}', 3)} AS y_m
+FROM (SELECT *, CAST((event_id * 7919) % 36001 - 18000 AS DOUBLE) / 100 AS lon,
+  CAST((event_id * 104729) % 18001 - 9000 AS DOUBLE) / 100 AS lat FROM events)"""
+
+_OPERATIONS = """SELECT 'N' || o_orderkey AS flight_number, o_orderkey % 2 = 0 AS unmanned,
+  'type ' || (o_orderkey % 7) AS aircraft_type, 'contact ' || o_custkey AS primary_contact_name,
+  o_orderpriority AS aircraft_comments, epoch_us(o_orderdate) AS submit_us, epoch_us(o_orderdate) AS begin_us,
+  epoch_us(o_orderdate) + 86400000000 AS end_us, CAST(o_orderkey % 4 + 2 AS INTEGER) AS n_points,
+  CAST(1 + o_orderkey % 100 AS DOUBLE) / 4 AS lon1, CAST(2 + o_orderkey % 80 AS DOUBLE) / 8 AS lat1,
+  CAST(50 + o_orderkey % 10 AS DOUBLE) AS min_altitude, CAST(150 + o_orderkey % 10 AS DOUBLE) AS max_altitude
+FROM orders WHERE o_orderkey % 11 <> 0"""
+
+_MESSAGES = """SELECT 'fid-' || event_id AS gufi,
+  CAST(event_id % 40 AS INTEGER) AS message_id FROM events"""
+
+
 ORACLES: dict[str, str] = {
     "latest_state": _with(REPORTS, FLIGHTS)
     + f"""SELECT conflict_id, flight_id, ord, lat, lon, {_r('heading')} AS heading, {_r('speed')} AS speed,
@@ -421,22 +440,16 @@ FROM roster GROUP BY conflict_id""",
     "decode_status": _with(REPORTS)
     + f"SELECT seq AS event_id, flight_id, {_ROUNDED_STATE} FROM reports WHERE seq % 10 < 7",
     "status_rejects": "SELECT event_id FROM events WHERE event_id % 10 >= 7",
-    "read_positions_xml": f"""SELECT 'fid-' || event_id AS gufi, CAST(event_id % 360 AS DOUBLE) AS heading,
-  lon, lat, CAST(10 + event_id % 90 AS DOUBLE) AS speed, epoch_us(ts) AS received_us,
-  epoch_us(ts) AS measured_us, {_r(f'lon * {METRES_PER_DEGREE}', 3)} AS x_m,
-  {_r(f'lat * {METRES_PER_DEGREE}', 3)} AS y_m
-FROM (SELECT *, CAST((event_id * 7919) % 36001 - 18000 AS DOUBLE) / 100 AS lon,
-  CAST((event_id * 104729) % 18001 - 9000 AS DOUBLE) / 100 AS lat FROM events)""",
-    "read_operations_xml": """SELECT 'N' || o_orderkey AS flight_number, o_orderkey % 2 = 0 AS unmanned,
-  'type ' || (o_orderkey % 7) AS aircraft_type, 'contact ' || o_custkey AS primary_contact_name,
-  o_orderpriority AS aircraft_comments, epoch_us(o_orderdate) AS submit_us, epoch_us(o_orderdate) AS begin_us,
-  epoch_us(o_orderdate) + 86400000000 AS end_us, CAST(o_orderkey % 4 + 2 AS INTEGER) AS n_points,
-  CAST(1 + o_orderkey % 100 AS DOUBLE) / 4 AS lon1, CAST(2 + o_orderkey % 80 AS DOUBLE) / 8 AS lat1,
-  CAST(50 + o_orderkey % 10 AS DOUBLE) AS min_altitude, CAST(150 + o_orderkey % 10 AS DOUBLE) AS max_altitude
-FROM orders WHERE o_orderkey % 11 <> 0""",
+    "read_positions_xml": _POSITIONS,
+    "read_positions_xml_files": _POSITIONS + " WHERE event_id % 10 <> 7",
+    "position_rejects": "SELECT 'fid-' || event_id AS gufi FROM events WHERE event_id % 10 = 7",
+    "read_operations_xml": _OPERATIONS,
+    "read_operations_xml_files": _OPERATIONS + " AND o_orderkey % 10 <> 7",
     "operation_rejects": "SELECT 'N' || o_orderkey AS flight_number FROM orders WHERE o_orderkey % 11 = 0",
-    "read_operation_messages_xml": """SELECT 'fid-' || event_id AS gufi,
-  CAST(event_id % 40 AS INTEGER) AS message_id FROM events""",
+    "operation_file_rejects": "SELECT 'N' || o_orderkey AS flight_number FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 10 = 7",
+    "read_operation_messages_xml": _MESSAGES,
+    "read_operation_messages_xml_files": _MESSAGES + " WHERE event_id % 10 <> 7",
+    "operation_message_rejects": "SELECT 'fid-' || event_id AS gufi FROM events WHERE event_id % 10 = 7",
     "load_utility": f"""SELECT row_number() OVER (ORDER BY event_id) - 1 AS state_idx,
   CAST((event_id * 37) % 1024 AS DOUBLE) / 1024 - 1 AS u_first,
   CAST((event_id * 37 + {(N_JOINT - 1) * 101}) % 1024 AS DOUBLE) / 1024 - 1 AS u_last,
@@ -480,8 +493,10 @@ FROM all_pairs WHERE NOT terminal""",
     )
     + f"""SELECT event_id, {", ".join(f"{_r(c)} AS {c}" for c in _AXES)},
   abs(x) > 2000 OR abs(y) > 2000 AS is_terminal, {_r(_wrap('bearing'))} AS wrapped FROM seen""",
-    "pair_utility": _with(*UTILITIES) + f"SELECT conflict_id, own_ord, intr_ord, {_WIDE} FROM pair_q",
-    "pair_utility_by_join": _with(*UTILITIES) + f"SELECT conflict_id, own_ord, intr_ord, {_WIDE} FROM pair_q",
+    **dict.fromkeys(
+        ("pair_utility", "pair_utility_by_join", "pair_utility_by_brick"),
+        _with(*UTILITIES) + f"SELECT conflict_id, own_ord, intr_ord, {_WIDE} FROM pair_q",
+    ),
     "worst_case": _with(*UTILITIES, FAR, _worst(f"intr_ord % {N_ACTIONS}"))
     + f"SELECT conflict_id, flight_id, ord, {_UTILS} FROM worst",
     "best_response": _with(*CLEAR_BEST)

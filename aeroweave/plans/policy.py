@@ -14,8 +14,17 @@ from pyspark.sql import functions as F
 from ..functions.grid import Grid
 from ..functions.kernel import POINT_COLUMNS
 from ..operators.groups import filter_multi
-from ..operators.utility import acted_utility, action_slice, clear_utility, pair_belief, pair_utility, pair_utility_by_join
+from ..operators.utility import (
+    acted_utility,
+    action_slice,
+    brick_table,
+    clear_utility,
+    pair_belief,
+    pair_utility,
+    pair_utility_by_brick,
+)
 from ..schemas import BANK_ANGLES, FLIGHT_STATE, RESOLUTION
+from ..session import materialize
 from ..sources.utility import UtilityShapeError, load_utility
 
 #: Largest utility matrix that is sent to the Python workers; larger tables are joined.
@@ -55,6 +64,7 @@ class TablePolicy:
         self._matrix = None
         self._shared: tuple[str, object] | None = None
         self._sound: SparkSession | None = None
+        self._bricks: tuple[SparkSession, DataFrame] | None = None
         if isinstance(utility, np.ndarray):
             self._matrix = self._checked(utility)
 
@@ -119,14 +129,20 @@ class TablePolicy:
         rows = pa.ListArray.from_arrays(offsets, pa.array(self._matrix.ravel()))
         return spark.createDataFrame(pa.table({"state_idx": np.arange(self.n_states), "u": rows}))
 
+    def bricks(self, spark: SparkSession) -> DataFrame:
+        """The table packed by grid cells, made once per session and kept in the shared folder."""
+        if self._bricks is None or self._bricks[0] is not spark:
+            self._bricks = (spark, materialize(brick_table(self.frame(spark), self.grid)))
+        return self._bricks[1]
+
     def pair_q(self, pairs: DataFrame) -> DataFrame:
         """Joint-action utilities ``q`` per in-range pair."""
         spark = pairs.sparkSession
         if self.broadcastable:
             return pair_utility(pairs, self.table(spark), self.grid)
         keys = tuple(c for c in pairs.columns if c not in POINT_COLUMNS)
-        return pair_utility_by_join(
-            pair_belief(pairs, self.grid), self.frame(spark), self.n_joint, keys
+        return pair_utility_by_brick(
+            pair_belief(pairs, self.grid), self.bricks(spark), self.grid, self.n_joint, keys
         )
 
     def pair_clear(self, pairs: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from .operators import (
     NoiseModel,
     apply_advisories,
     assemble_conflict,
-    best_response,
     encode_advisories,
     encode_status,
     filter_multi,
@@ -24,6 +23,8 @@ from .operators import (
     joint_utility,
     ordered_pairs,
     pair_belief,
+    brick_table,
+    pair_utility_by_brick,
     pair_utility_by_join,
     project_state,
     project_straight,
@@ -31,7 +32,6 @@ from .operators import (
     relative_state,
     rollout,
     unmatched_advisories,
-    worst_case,
 )
 from .plans import (
     FunctionPolicy,
@@ -60,6 +60,12 @@ from .sources import (
     load_utility,
     operation_rejects,
     read_messages,
+    read_operation_message_rejects,
+    read_operation_messages_xml,
+    read_operation_rejects,
+    read_operations_xml,
+    read_position_rejects,
+    read_positions_xml,
     read_stream,
     split_conflict_groups,
     status_rejects,
@@ -170,7 +176,7 @@ def _wire_groups(spark, sf) -> DataFrame:
 
 def _unwired(messages: DataFrame) -> DataFrame:
     """Group strings under the groups' names; the parts of a group share its name."""
-    return split_conflict_groups(read_part_key(messages).select("name", "value", "first"), key="name")
+    return split_conflict_groups(read_part_key(messages).select("name", "value", "first"), key="name", unique=True)
 
 
 def split_conflict_groups_query(spark, sf):
@@ -276,7 +282,7 @@ def _document(tag: str, *children: Column) -> Column:
     return F.concat(F.lit(f"<utm:{tag} {spaces}>"), *children, F.lit(f"</utm:{tag}>"))
 
 
-def read_positions_xml_query(spark, sf):
+def _position_xml(spark, sf) -> DataFrame:
     e = F.col("event_id")
     lon, lat = ((e * 7919) % 36001 - 18000) / 100.0, ((e * 104729) % 18001 - 9000) / 100.0
     value = _document(
@@ -288,22 +294,50 @@ def read_positions_xml_query(spark, sf):
         _element("time_received", _utc_text("ts")),
         _element("time_measured", _utc_text("ts")),
     )
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    positions = decode_positions_xml(events.select(value.alias("value")))
-    planar = to_planar(positions).select("gufi", F.col("lat").alias("y_m"), F.col("lon").alias("x_m"))
-    return positions.join(planar, "gufi").select(
+    return spark.read.parquet(f"{sf}/events.parquet").select(value.alias("value"))
+
+
+def _position_output(positions: DataFrame) -> DataFrame:
+    degrees = positions.withColumns({"heading_deg": F.col("heading"), "lon_deg": F.col("lon"), "lat_deg": F.col("lat")})
+    return to_planar(degrees).select(
         "gufi",
-        "heading",
-        "lon",
-        "lat",
+        F.col("heading_deg").alias("heading"),
+        F.col("lon_deg").alias("lon"),
+        F.col("lat_deg").alias("lat"),
         "speed",
         F.unix_micros("time_received").alias("received_us"),
         F.unix_micros("time_measured").alias("measured_us"),
-        _r("x_m", 3).alias("x_m"),
-        _r("y_m", 3).alias("y_m"),
+        _r("lon", 3).alias("x_m"),
+        _r("lat", 3).alias("y_m"),
     )
 
 
+def read_positions_xml_query(spark, sf):
+    return _position_output(decode_positions_xml(_position_xml(spark, sf)))
+
+
+def _xml_files(documents: DataFrame, label: str) -> str:
+    """Files of many documents each; one document in ten is cut off before its closing tag, by its digits."""
+    spark = documents.sparkSession
+    path = scratch_path(spark, label)
+    cut = F.regexp_extract("value", "<utm:(?:gufi|flight_number)>(?:fid-|N)(\\d+)<", 1).cast("bigint") % 10 == 7
+    shorter = F.substring("value", F.lit(1), F.length("value") - 10)
+    documents.select(F.when(cut, shorter).otherwise(F.col("value"))).write.option("lineSep", " ").text(path)
+    return path
+
+
+def _rejected(rejects: DataFrame, tag: str) -> DataFrame:
+    return rejects.select(F.regexp_extract("reject", f"<utm:{tag}>([^<]*)<", 1).alias(tag))
+
+
+def read_positions_xml_files_query(spark, sf):
+    return _position_output(read_positions_xml(spark, _xml_files(_position_xml(spark, sf), "positions")))
+
+
+def position_rejects_query(spark, sf):
+    return _rejected(read_position_rejects(spark, _xml_files(_position_xml(spark, sf), "positions")), "gufi")
+
+
 def _operation_xml(spark, sf) -> DataFrame:
     k = F.col("o_orderkey")
     end = F.when(k % 11 == 0, F.expr("o_orderdate - interval 1 day")).otherwise(
@@ -338,9 +372,9 @@ def _operation_xml(spark, sf) -> DataFrame:
     return orders.select(value.alias("value"))
 
 
-def read_operations_xml_query(spark, sf):
+def _operation_output(operations: DataFrame) -> DataFrame:
     line = F.col("flight_geography")
-    return decode_operations_xml(_operation_xml(spark, sf)).select(
+    return operations.select(
         "flight_number",
         "unmanned",
         "aircraft_type",
@@ -357,17 +391,42 @@ def read_operations_xml_query(spark, sf):
     )
 
 
+def read_operations_xml_query(spark, sf):
+    return _operation_output(decode_operations_xml(_operation_xml(spark, sf)))
+
+
+def read_operations_xml_files_query(spark, sf):
+    return _operation_output(read_operations_xml(spark, _xml_files(_operation_xml(spark, sf), "operations")))
+
+
+def operation_file_rejects_query(spark, sf):
+    """Operations that are cut off or whose window ends before it begins."""
+    return _rejected(read_operation_rejects(spark, _xml_files(_operation_xml(spark, sf), "operations")), "flight_number")
+
+
 def operation_rejects_query(spark, sf):
     return operation_rejects(_operation_xml(spark, sf)).select("flight_number")
 
 
-def read_operation_messages_xml_query(spark, sf):
+def _operation_message_xml(spark, sf) -> DataFrame:
     e = F.col("event_id")
     value = _document(
         "operation_messages", _element("gufi", F.concat(F.lit("fid-"), e)), _element("message_id", e % 40)
     )
-    events = spark.read.parquet(f"{sf}/events.parquet").select(value.alias("value"))
-    return decode_operation_messages_xml(events)
+    return spark.read.parquet(f"{sf}/events.parquet").select(value.alias("value"))
+
+
+def read_operation_messages_xml_query(spark, sf):
+    return decode_operation_messages_xml(_operation_message_xml(spark, sf))
+
+
+def read_operation_messages_xml_files_query(spark, sf):
+    return read_operation_messages_xml(spark, _xml_files(_operation_message_xml(spark, sf), "operation-messages"))
+
+
+def operation_message_rejects_query(spark, sf):
+    files = _xml_files(_operation_message_xml(spark, sf), "operation-messages")
+    return _rejected(read_operation_message_rejects(spark, files), "gufi")
 
 
 # --- utility table -----------------------------------------------------------------------------
@@ -532,11 +591,6 @@ def relative_state_query(spark, sf):
 # --- utilities ---------------------------------------------------------------------------------
 
 
-def _pair_q(spark, sf) -> tuple[DataFrame, DataFrame]:
-    flights = _flights(spark, sf)
-    return flights, POLICY.pair_q(in_range_pairs(flights))
-
-
 def _wide(q: DataFrame) -> DataFrame:
     return q.select(
         "conflict_id", "own_ord", "intr_ord",
@@ -545,7 +599,7 @@ def _wide(q: DataFrame) -> DataFrame:
 
 
 def pair_utility_query(spark, sf):
-    return _wide(_pair_q(spark, sf)[1])
+    return _wide(POLICY.pair_q(in_range_pairs(_flights(spark, sf))))
 
 
 def pair_utility_by_join_query(spark, sf):
@@ -553,6 +607,12 @@ def pair_utility_by_join_query(spark, sf):
     return _wide(pair_utility_by_join(beliefs, POLICY.frame(spark)))
 
 
+def pair_utility_by_brick_query(spark, sf):
+    """The same with one row of the packed table per pair."""
+    beliefs = pair_belief(in_range_pairs(_flights(spark, sf)), GRID)
+    return _wide(pair_utility_by_brick(beliefs, brick_table(POLICY.frame(spark), GRID), GRID))
+
+
 def _spread_utils(df: DataFrame) -> list[Column]:
     return [_r(F.get("utils", F.lit(a))).alias(f"u{a}") for a in range(N_ACTIONS)]
 
@@ -579,8 +639,7 @@ def maxmin_query(spark, sf):
 
 
 def joint_utility_query(spark, sf):
-    flights, q = _pair_q(spark, sf)
-    return _rounded(joint_utility(best_response(worst_case(flights, q))), "joint_util")
+    return _rounded(joint_utility(maxmin(_flights(spark, sf), POLICY)), "joint_util")
 
 
 # --- search ------------------------------------------------------------------------------------

@@ -12,10 +12,14 @@ from .xml import (
     operation_message_rejects,
     operation_rejects,
     position_rejects,
+    read_operation_message_rejects,
     read_operation_messages_xml,
+    read_operation_rejects,
     read_operations_xml,
+    read_position_rejects,
     read_positions_xml,
     to_planar,
+    xml_documents,
 )
 
 __all__ = [
@@ -37,10 +41,14 @@ __all__ = [
     "read_operation_messages_xml",
     "read_part_key",
     "read_operations_xml",
+    "read_operation_message_rejects",
+    "read_operation_rejects",
+    "read_position_rejects",
     "read_positions_xml",
     "read_stream",
     "split_conflict_groups",
     "status_rejects",
     "to_planar",
     "write_messages",
+    "xml_documents",
 ]

@@ -78,8 +78,28 @@ def _decode(df: DataFrame, col: str, schema: T.StructType, columns: list[Column]
     return parsed.select(*rest, *columns)
 
 
-def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+def xml_documents(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """Every ``<tag ...>...</tag>`` of the files as ``(value, complete)``, in whatever envelope, many or one per file.
+
+    Files are cut at the opening tag, so a split holds whole records and no file is read as one row. A document that ends, or that
+    the next one begins in, before its closing tag is not ``complete``; ``value`` is then all there is of it. What lies
+    between documents is dropped. A tag that is quoted in a comment counts as one.
+    """
+    opening, closing = f"<{tag}", f"</{tag}>"
+    # what follows the tag's name: attributes up to the bracket, and not the name of another tag
+    pieces = spark.read.option("lineSep", opening).text(path).where(F.col("value").rlike(r"^(\s[^<]*)?/?>"))
+    end = F.instr("value", closing)
+    whole = F.substring("value", F.lit(1), end + len(closing) - 1)
+    return pieces.select(
+        F.concat(F.lit(opening), F.when(end > 0, whole).otherwise(F.col("value"))).alias("value"), (end > 0).alias("complete")
+    )
+
+
+def _read(spark: SparkSession, path: str, tag: str, schema: T.StructType, columns: list[Column]) -> DataFrame:
+    """Fields of the documents, and ``reject``, the text; an incomplete document has no fields."""
+    text = F.when(F.col("complete"), F.col("value"))
+    documents = xml_documents(spark, path, tag).select(text.alias("value"), F.col("value").alias("reject"))
+    return _decode(documents, "value", schema, columns)
 
 
 def _window_ok() -> Column:
@@ -126,20 +146,46 @@ def operation_rejects(df: DataFrame, col: str = "value") -> DataFrame:
     return _decode(df, col, OPERATION_XML, _operation_columns()).where(~_window_ok())
 
 
+def _positions(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, "utm:positions", POSITION_XML, _position_columns())
+
+
+def _operations(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, "utm:operations_proposed", OPERATION_XML, _operation_columns())
+
+
+def _messages(spark: SparkSession, path: str) -> DataFrame:
+    return _read(spark, path, "utm:operation_messages", OPERATION_MESSAGE_XML, _message_columns())
+
+
 def read_positions_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Positions from XML files, one envelope per file."""
-    return _read(spark, path, "utm:positions", POSITION_XML).select(*_position_columns())
+    """Positions from XML files of one or many documents; see :func:`xml_documents`."""
+    return _positions(spark, path).where(_named()).drop("reject")
+
+
+def read_position_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that :func:`read_positions_xml` leaves out, as ``reject``: cut off, not XML, or without a flight."""
+    return _positions(spark, path).where(~_named()).select("reject")
 
 
 def read_operations_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Operations from XML files, one envelope per file; impossible time windows are left out."""
-    raw = _read(spark, path, "utm:operations_proposed", OPERATION_XML)
-    return raw.select(*_operation_columns()).where(_window_ok())
+    """Operations from XML files of one or many documents; impossible time windows are left out."""
+    return _operations(spark, path).where(_window_ok()).drop("reject")
+
+
+def read_operation_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that :func:`read_operations_xml` leaves out, as ``reject``."""
+    return _operations(spark, path).where(~_window_ok()).select("reject")
 
 
 def read_operation_messages_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Operation messages from XML files, one envelope per file."""
-    return _read(spark, path, "utm:operation_messages", OPERATION_MESSAGE_XML).select(*_message_columns())
+    """Operation messages from XML files of one or many documents."""
+    return _messages(spark, path).where(_named()).drop("reject")
+
+
+def read_operation_message_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Documents that :func:`read_operation_messages_xml` leaves out, as ``reject``."""
+    return _messages(spark, path).where(~_named()).select("reject")
 
 
 def to_planar(positions: DataFrame, lon0: float = 0.0, lat0: float = 0.0) -> DataFrame:

@@ -84,6 +84,22 @@ def test_interpolate_golden(spark):
         assert r.value == pytest.approx(r.want, abs=1e-6)
 
 
+def test_a_missing_value_fails(spark):
+    grid = Grid(((0.0, 2.0), (0.0, 1.0)))
+    points = grid_vertices(spark.createDataFrame([(1, 1.0, 0.5)], "i int, a double, b double"), ["a", "b"], grid)
+    whole = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 4.0), (3, 8.0)], "state_idx int, value double")
+    assert grid.interpolate_by_join(points, whole, ["i"]).first().value == 3.75
+    for values in (whole.where("state_idx <> 2"), whole.selectExpr("state_idx", "nullif(value, 4.0) as value")):
+        with pytest.raises(Exception, match="no value for state 2"):
+            grid.interpolate_by_join(points, values, ["i"]).collect()
+
+
+def test_corners_of_a_cell():
+    grid = Grid(((0.0, 1.0, 2.0), (5.0,), (0.0, 1.0)))
+    assert grid.corners == ((0, ()), (1, (0,)), (3, (2,)), (4, (0, 2)))
+    assert len(Grid().corners) == 32
+
+
 def test_length_and_points(spark):
     grid = Grid()
     assert grid.length + 1 == 5446 and grid.dimensions == 5

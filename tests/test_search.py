@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aeroweave.fixtures import synthetic_utility
 from aeroweave.functions.angles import joint_action_index
-from aeroweave.operators import best_response, in_range_pairs, pair_belief, pair_utility_by_join, worst_case
+from aeroweave.operators import best_response, brick_table, in_range_pairs, pair_belief, pair_utility_by_brick, pair_utility_by_join, worst_case
 from aeroweave.operators.pairs import distinct_state_pairs
 from aeroweave.plans import FunctionPolicy, Policy, TablePolicy, maxmin, policy_sweep, resolve_conflicts, worst_cases
 from aeroweave.plans import policy as policy_module
@@ -18,6 +18,7 @@ from aeroweave.plans.search import SHUFFLE_PRIME, sweep_factor
 from aeroweave.plans import sweep as sweep_module
 from aeroweave.plans.sweep import linear_range
 from aeroweave.queries import SWEEP_METRES
+from aeroweave.session import materialize
 from brute import random_group, search
 
 TABLE = synthetic_utility()
@@ -143,6 +144,37 @@ def test_maxmin_equals_composed_operators(spark, make_flights, policy, scenario)
         assert got[key][0] == direct[key][0] and got[key][1] == pytest.approx(direct[key][1], abs=1e-12)
 
 
+def test_bricks_give_the_sums_of_the_join(spark, make_flights, policy):
+    rng = random.Random(8)
+    rows = random_group(rng, "g", 40, 2500) + [("e", x, y, 0.0, v) for x in (-2000, 0, 2000) for y in (0, 400) for v in (0, 20, 30)]
+    beliefs = pair_belief(in_range_pairs(make_flights(rows)), policy.grid)
+    bricks = brick_table(policy.frame(spark), policy.grid)
+    assert bricks.count() == policy.grid.length
+    by_key = lambda df: {(r.conflict_id, r.own_ord, r.intr_ord): r.q for r in df.collect()}
+    want = by_key(pair_utility_by_join(beliefs, policy.frame(spark)))
+    assert want and by_key(pair_utility_by_brick(beliefs, bricks, policy.grid)) == want
+
+
+def test_bricks_are_joined_once_and_complete(spark, make_flights, policy):
+    beliefs = pair_belief(in_range_pairs(make_flights([("g", 10, 20, 0.1, 12), ("g", 300, -50, 2.1, 14)])), policy.grid)
+    written = materialize(brick_table(policy.frame(spark), policy.grid))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lean = materialize(beliefs)
+        plan = pair_utility_by_brick(lean, written, policy.grid)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan  # one of pairs, one of the table
+    state = beliefs.selectExpr("vertices[3].state_idx as s").first().s
+    short = brick_table(policy.frame(spark).where(f"state_idx <> {state}"), policy.grid)
+    with pytest.raises(Exception, match=f"has no state {state}"):
+        pair_utility_by_brick(beliefs, short, policy.grid).collect()
+    twice = policy.frame(spark).union(policy.frame(spark).where("state_idx = 7"))
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        brick_table(twice, policy.grid).collect()
+
+
 def test_copies_of_a_state_are_collapsed(make_flights, policy, monkeypatch):
     """A crowd at one state costs one pair; the answers equal those of the full pair list."""
     rng = random.Random(4)

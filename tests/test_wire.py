@@ -26,8 +26,11 @@ from aeroweave.sources import (
     operation_rejects,
     position_rejects,
     read_messages,
+    read_operation_message_rejects,
     read_operation_messages_xml,
+    read_operation_rejects,
     read_operations_xml,
+    read_position_rejects,
     read_positions_xml,
     split_conflict_groups,
     status_rejects,
@@ -81,6 +84,22 @@ def test_unkeyed_messages_do_not_mix(spark):
     assert split_conflict_groups(df).select("conflict_id").distinct().count() == 2
 
 
+def test_messages_that_share_a_key_stay_apart(spark):
+    rows = [("k", "a%1%1%1%1,b%2%2%2%2,"), ("k", "c%1%1%1%1,d%2%2%2%2,"), ("k", "a%1%1%1%1,b%2%2%2%2,"), ("j", "e%1%1%1%1,"),
+            (None, "f%1%1%1%1,"), (None, "f%1%1%1%1,"), ("k", None)]
+    df = spark.createDataFrame(rows, "key string, value string")
+    got = [(r.conflict_id, r.flight_id) for r in decode_conflict_group(split_conflict_groups(df, key="key")).collect()]
+    named = sorted((i.partition("~")[0], f) for i, f in got if f != "f")
+    assert named == [("j", "e"), ("k", "a"), ("k", "b"), ("k", "c"), ("k", "d")]
+    group = {f: i for i, f in got}
+    assert group["a"] == group["b"] != group["c"] == group["d"] and group["e"] == "j"
+    assert len({i for i, f in got if f == "f"}) == 2
+    stream = spark.readStream.format("rate").load().selectExpr("'k' as key", "'a' as value")
+    with pytest.raises(ValueError):
+        split_conflict_groups(stream, key="key")
+    assert split_conflict_groups(stream, key="key", unique=True).isStreaming
+
+
 def test_group_string_round_trip_and_parts(make_flights):
     flights = make_flights([("g", i, -i, 0.25 * i, 10 + i / 3) for i in range(40)])
     for limit, parts in ((1000, 1), (7, 6)):
@@ -88,7 +107,7 @@ def test_group_string_round_trip_and_parts(make_flights):
         assert strings.count() == parts
         assert {r.n_parts for r in strings.collect()} == {parts}
         back = decode_conflict_group(
-            split_conflict_groups(strings.select(F.col("conflict_id").alias("key"), "value"), key="key")
+            split_conflict_groups(strings.select(F.col("conflict_id").alias("key"), "value"), key="key", unique=True)
         )
         names = ["conflict_id", "flight_id", "lat", "lon", "heading", "speed"]
         assert sorted(back.select(*names).collect()) == sorted(flights.select(*names).collect())
@@ -241,6 +260,36 @@ def test_xml_files(spark):
     assert [tuple(r) for r in read_operation_messages_xml(spark, write_xml(spark, message)).collect()] == [("fid-1", 30)]
 
 
+def write_text(spark, *files):
+    root = scratch_path(spark, "xml")
+    for i, text in enumerate(files):
+        values(spark, text).coalesce(1).write.option("lineSep", " ").text(f"{root}/{i}")
+    return f"{root}/*"
+
+
+def test_xml_documents_in_one_file_cut_off_or_broken(spark):
+    one = lambda i: POSITION.replace("fid-1", f"fid-{i}")
+    spaced = one(4).replace("<utm:positions>", '<utm:positions xmlns:utm="u"\n>', 1)
+    cut, nested, unnamed = one(5)[:90], one(6)[:-25], one(7).replace("fid-7", "")
+    other = "<utm:positions_other><utm:gufi>no</utm:gufi></utm:positions_other>"
+    path = write_text(
+        spark, HEAD + one(1) + one(2) + "\n" + one(3) + TAIL + HEAD + spaced + TAIL, cut + one(8) + nested, one(9) + unnamed + other, "", "no xml",
+        "<utm:positions/>", "\n" + one(10),
+    )
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for limit in (old, "256"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+        try:
+            got = sorted(r.gufi for r in read_positions_xml(spark, path).collect())
+            rejects = sorted(r.reject.strip() for r in read_position_rejects(spark, path).collect())
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == sorted(f"fid-{i}" for i in (1, 2, 3, 4, 8, 9, 10))
+        assert rejects == sorted([cut, nested, unnamed, "<utm:positions/>"])
+    assert read_operation_message_rejects(spark, path).count() == 0
+    assert read_operation_rejects(spark, write_text(spark, operation("?", "?"))).count() == 1
+
+
 def test_xml_messages_and_rejects(spark):
     spaces = ' xmlns:gml="http://www.opengis.net/gml" xmlns:utm="http://opengeo.org/utm">'
     position = POSITION.replace(">", spaces, 1)
