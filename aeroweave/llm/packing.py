@@ -116,12 +116,14 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW
     """Every piece of every document with its ``sequence_id`` and ``offset`` there.
 
     NULL and empty texts are the end id alone. Repeated rows and rows without an id are packed like any
-    others; other columns are ignored; an empty table gives no rows. Sequence numbers are unique, not dense:
-    the packing group is in the upper half.
+    others and spread over the groups by their place in the written pieces; other columns are ignored; an empty table gives
+    no rows. Sequence numbers are unique, not dense: the packing group is in the upper half.
     """
     pieces = stored(cut_documents(documents, tokenizer, end_id, window, with_ids), "pieces")
     n_groups = max(1, -(-pieces.count() // GROUP_PIECES))
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_groups)).alias("group")
+    # the pieces are written, so a repeated task finds each at the same place
+    place = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    group = F.pmod(place, F.lit(n_groups)).alias("group")
 
     def fill(table: pa.Table) -> pa.Table:
         table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
