@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from aeroweave.llm import bpe, chat, imatch, jaccard_join, packing, quality, sharding, substring, token_store, url_filter, words
@@ -146,6 +147,28 @@ def test_urls(spark):
     assert set(url_filter.judge_urls(pages.where("page_id = 3"), rules).toPandas().verdict) == {"allow"}
 
 
+def test_packing_spreads_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    same = spark.range(3000).selectExpr("cast(null as bigint) as doc_id", "'one two three' as text")
+    got = packing.pack(same, BYTE, 1)
+    sizes = [r["count"] for r in got.groupBy((F.col("sequence_id") / 2**32).cast("bigint")).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 60 and max(sizes) < 150
+    assert got.select("sequence_id", "offset").distinct().count() == 3000
+
+
+def test_sharding_takes_any_column_names_and_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 64)
+    monkeypatch.setattr(sharding, "BLOCK", 10)
+    docs = spark.range(500).selectExpr("id as doc_id", "repeat('x', 20) as text", "id as __bucket", "-id as `__ORDER`", "1 as number", "2 as n", "3 as begin")
+    got = sharding.shuffled_shards(docs, 7)
+    assert got.columns == [*docs.columns, "shard", "slot"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(500)) and all(r["__bucket"] == r.doc_id == -r["__ORDER"] for r in rows)
+    for shard in range(7):
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots))) and len(slots) in (71, 72)
+
+
 def test_sharding(odd, empty):
     got = sharding.shuffled_shards(odd, 4, seed=5)
     assert got.columns == [*odd.columns, "shard", "slot"]
