@@ -185,11 +185,13 @@ def _wrap(expr: str) -> str:
 
 # --- the search: one row per group, one aircraft per recursion step ----------------------------
 
-SEARCH = f"""own_info AS (
-  SELECT r.conflict_id, r.pos, far.n_terminal > 0 AS far,
+def _walk(groups: str, joined: str, pairs: str, far: str) -> str:
+    """One aircraft per recursion step; ``joined`` finds what the one whose turn it is sees."""
+    return f"""own_info AS (
+  SELECT r.conflict_id, r.pos, coalesce(f.n_terminal, 0) > 0 AS far,
     list({{'k': q.intr_pos, 'q': [{", ".join(f"q.q{j}" for j in range(N_JOINT))}]}})
       FILTER (q.pid IS NOT NULL) AS pairs
-  FROM roster r JOIN far USING (conflict_id, ord)
+  FROM roster r LEFT JOIN far f USING (conflict_id, ord)
   LEFT JOIN pair_q q ON q.conflict_id = r.conflict_id AND q.own_ord = r.ord
   GROUP BY ALL),
 walk AS (
@@ -198,7 +200,7 @@ walk AS (
     list_transform(range(max(n)), lambda x: CAST(0 AS HUGEINT)) AS util,
     list_transform(range(max(n)), lambda x: {N_ACTIONS - 1}) AS best,
     CAST(NULL AS HUGEINT) AS best_total, FALSE AS improving, FALSE AS done
-  FROM roster GROUP BY conflict_id
+  FROM {groups} GROUP BY conflict_id
   UNION ALL
   SELECT conflict_id, n, CASE WHEN pos = n THEN 1 ELSE pos + 1 END,
     CASE WHEN pos = n AND moved THEN sweep + 1 ELSE sweep END,
@@ -217,11 +219,14 @@ walk AS (
           FROM (
             SELECT *, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS act FROM (
               SELECT w.*, list_transform(range({N_ACTIONS}), lambda a: least(
-                coalesce(list_min(list_transform(o.pairs, lambda p: p.q[a * {N_ACTIONS} + w.cur[p.k] + 1])), 1e300),
-                CASE WHEN o.far THEN CASE WHEN a = {N_ACTIONS - 1} THEN 0.0 ELSE -0.5 END ELSE 1e300 END)) AS m
-              FROM walk w JOIN own_info o ON o.conflict_id = w.conflict_id AND o.pos = w.pos
+                coalesce(list_min(list_transform({pairs}, lambda p: p.q[a * {N_ACTIONS} + w.cur[p.k] + 1])), 1e300),
+                CASE WHEN {far} THEN CASE WHEN a = {N_ACTIONS - 1} THEN 0.0 ELSE -0.5 END ELSE 1e300 END)) AS m
+              FROM walk w {joined}
               WHERE NOT w.done)))))))"""
 
+
+SEARCH = _walk("roster", "JOIN own_info o ON o.conflict_id = w.conflict_id AND o.pos = w.pos", "o.pairs", "o.far")
+
 RESOLVED = f"""resolved AS (
   SELECT r.*, CAST(w.best[r.pos] AS INTEGER) AS action_idx, {_BANKS}[w.best[r.pos] + 1] AS bank,
     CAST(w.best_total AS DOUBLE) / 1e12 AS joint_util, CAST(w.sweep AS INTEGER) AS n_iter,
@@ -229,11 +234,7 @@ RESOLVED = f"""resolved AS (
   FROM walk w JOIN roster r USING (conflict_id) WHERE w.done)"""
 
 
-def _search(*before: str, utilities: tuple[str, ...] = UTILITIES[1:]) -> str:
-    return "WITH RECURSIVE " + ",\n".join((*before, *utilities, FAR, SEARCH, RESOLVED)) + "\n"
-
-
-RESOLVE = _search(REPORTS)
+RESOLVE = "WITH RECURSIVE " + ",\n".join((*UTILITIES, FAR, SEARCH, RESOLVED)) + "\n"
 
 _ADVISORY = f"""SELECT conflict_id, flight_id, bank = -1 AS clear_of_conflict,
   {_r('lat')} AS lat, {_r('lon')} AS lon, {_r('speed')} AS speed, {_r('heading')} AS heading,
@@ -352,13 +353,38 @@ _WIDE = ", ".join(f"{_r(f'q{j}')} AS q{j}" for j in range(N_JOINT))
 _UTILS = ", ".join(f"{_r(f'u{a}')} AS u{a}" for a in range(N_ACTIONS))
 _METRES = "[" + ", ".join(f"{m}::DOUBLE" for m in SWEEP_METRES) + "]"
 
-SWEPT = f"""base AS (SELECT *, min(ord) OVER (PARTITION BY conflict_id) AS first_ord FROM flights0),
-flights AS (
-  SELECT conflict_id || '/' || ix || '/' || iy AS conflict_id, flight_id, ord,
-    CASE WHEN ord = first_ord THEN {_METRES}[ix + 1] ELSE lat END AS lat,
-    CASE WHEN ord = first_ord THEN {_METRES}[iy + 1] ELSE lon END AS lon,
-    heading, speed, conflict_id AS scenario_id, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy
-  FROM base, range({len(SWEEP_METRES)}) a(ix), range({len(SWEEP_METRES)}) b(iy))"""
+# Unmoved aircraft meet once per scenario, under its name; the moved one meets the others once per cell, under the cell's.
+SWEPT = f"""cell AS (
+  SELECT '/' || ix || '/' || iy AS name, {_METRES}[ix + 1] AS lat, {_METRES}[iy + 1] AS lon,
+    CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy
+  FROM range({len(SWEEP_METRES)}) a(ix), range({len(SWEEP_METRES)}) b(iy)),
+scenario AS (
+  SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY conflict_id) AS n,
+    row_number() OVER (PARTITION BY conflict_id ORDER BY ord) AS pos FROM flights0)
+  WHERE n > 1),
+placed AS (
+  SELECT conflict_id, ord, pos, lat, lon, heading, speed, '' AS name FROM scenario WHERE pos > 1
+  UNION ALL
+  SELECT conflict_id, ord, pos, c.lat, c.lon, heading, speed, name FROM scenario s, cell c WHERE pos = 1),
+swept AS (
+  SELECT s.conflict_id || name AS conflict_id, s.conflict_id AS scenario_id, ix, iy, flight_id, ord, pos, n
+  FROM scenario s, cell),
+roster AS (
+  SELECT conflict_id, ord, pos, n FROM swept UNION ALL SELECT conflict_id, ord, pos, n FROM scenario),
+all_pairs AS (
+  SELECT *, abs(x) > {RANGE_LIMIT_M} OR abs(y) > {RANGE_LIMIT_M} AS terminal FROM (
+    SELECT o.conflict_id || o.name || i.name AS conflict_id, o.ord AS own_ord, i.pos AS intr_pos,
+      (i.lat - o.lat) * cos(o.heading) + (i.lon - o.lon) * sin(o.heading) AS x,
+      -(i.lat - o.lat) * sin(o.heading) + (i.lon - o.lon) * cos(o.heading) AS y,
+      i.heading - o.heading AS bearing, o.speed AS v_own, i.speed AS v_int
+    FROM placed o JOIN placed i ON o.conflict_id = i.conflict_id AND o.ord <> i.ord))"""
+SWEPT_SEARCH = _walk(
+    "swept",
+    """JOIN own_info o ON o.conflict_id = w.conflict_id AND o.pos = w.pos
+                JOIN own_info s ON s.conflict_id = split_part(w.conflict_id, '/', 1) AND s.pos = w.pos""",
+    "list_concat(o.pairs, s.pairs)",
+    "o.far OR s.far",
+)
 
 _CODED = _with(
     REPORTS,
@@ -517,12 +543,20 @@ FROM all_pairs WHERE NOT terminal""",
   {_r(f'{_BANKS}[(pos - 1) % {N_ACTIONS} + 1]')} AS bank FROM roster""",
     "advise": RESOLVE + _ADVISORY + "FROM resolved",
     "advise_stream": RESOLVE + _ADVISORY + "FROM resolved",
-    "policy_sweep": _search(
-        REPORTS,
-        FLIGHTS.replace("flights AS", "flights0 AS", 1),
-        SWEPT,
-        utilities=UTILITIES[2:],
+    "policy_sweep": "WITH RECURSIVE "
+    + ",\n".join(
+        (
+            REPORTS,
+            FLIGHTS.replace("flights AS", "flights0 AS", 1),
+            SWEPT,
+            NEAR,
+            *UTILITIES[len(PAIRS) :],
+            FAR,
+            SWEPT_SEARCH,
+            RESOLVED.replace("JOIN roster r", "JOIN swept r", 1),
+        )
     )
+    + "\n"
     + f"""SELECT scenario_id, ix, iy, flight_id, ord, action_idx,
   {_r('CASE WHEN bank = -1 THEN 0.05::DOUBLE ELSE bank END')} AS shade FROM resolved""",
     "encode_advisories": _with(*CLEAR_BEST)
