@@ -7,12 +7,14 @@ functions for the grid, a recursive walk for the search and for trajectories.
 from __future__ import annotations
 
 from .fixtures import GROUP_SECONDS
-from .queries import HUB_BOX, SWEEP_METRES
+from .plans.search import SHUFFLE_PRIME, sweep_factor
+from .queries import HUB_BOX, SHUFFLE_SEED, SWEEP_METRES
 from .schemas import (
     BANK_ANGLES,
     DECISION_PERIOD_S,
     ENCOUNTER_CUTS,
     GRAVITY,
+    MAX_SWEEPS,
     METRES_PER_DEGREE,
     N_ACTIONS,
     N_JOINT,
@@ -234,8 +236,71 @@ RESOLVED = f"""resolved AS (
   FROM walk w JOIN roster r USING (conflict_id) WHERE w.done)"""
 
 
+def _rounds(factors: str) -> str:
+    """The search in sets: each recursion step lets all aircraft answer again, until a sweep's answers stand.
+
+    An aircraft answers the new actions of those before it in the sweep and the old ones of the others, which only
+    the sequential sweep satisfies. ``factors`` is the SQL of a list that orders each sweep, NULL for the order of ``ord``.
+    """
+    seen = "CASE WHEN (i.p, i.ord) < (w.p, w.ord) THEN i.x ELSE i.prev END"
+    lowest = ", ".join(
+        f"min(CASE {seen} {' '.join(f'WHEN {c} THEN q.q{a * N_ACTIONS + c}' for c in range(N_ACTIONS))} END) AS w{a}"
+        for a in range(N_ACTIONS)
+    )
+    folded = ", ".join(
+        f"least(coalesce(w{a}, 1e300), CASE WHEN far THEN {_constant(a)} ELSE 1e300 END)" for a in range(N_ACTIONS)
+    )
+    place = f"coalesce(r * {factors}[{{sweep}} + 1] % {SHUFFLE_PRIME}, 0)"
+    return f"""walk AS (
+  SELECT conflict_id, ord, n_terminal > 0 AS far, r, {place.format(sweep=0)} AS p, 0 AS sweep,
+    {N_ACTIONS - 1} AS prev, {N_ACTIONS - 1} AS x, CAST(0 AS HUGEINT) AS u_prev, CAST(0 AS HUGEINT) AS u,
+    {N_ACTIONS - 1} AS best, CAST(NULL AS HUGEINT) AS best_total, FALSE AS done
+  FROM (SELECT *, {_ORDER_HASH} AS r FROM roster JOIN far USING (conflict_id, ord))
+  UNION ALL
+  SELECT conflict_id, ord, far, r, CASE WHEN stands THEN {place.format(sweep='(sweep + 1)')} ELSE p END,
+    CASE WHEN stands THEN sweep + 1 ELSE sweep END,
+    CASE WHEN stands THEN answer ELSE prev END, answer,
+    CASE WHEN stands THEN value ELSE u_prev END, value,
+    CASE WHEN better AND pos <= peak_pos THEN answer WHEN better THEN prev ELSE best END,
+    CASE WHEN better THEN peak ELSE best_total END,
+    stands AND (NOT better OR sweep + 1 = 100)
+  FROM (
+    SELECT *, stands AND (best_total IS NULL OR peak > best_total) AS better,
+      CASE WHEN sweep = 0 THEN n ELSE min(pos) FILTER (after = peak) OVER grp END AS peak_pos
+    FROM (
+      SELECT *, max(CASE WHEN sweep > 0 OR pos = n THEN after END) OVER grp AS peak
+      FROM (
+        SELECT *, NOT bool_or(answer <> x) OVER grp AS stands, count(*) OVER grp AS n, row_number() OVER turn AS pos,
+          sum(u_prev) OVER grp + sum(value - u_prev) OVER (turn ROWS UNBOUNDED PRECEDING) AS after
+        FROM (
+          SELECT * EXCLUDE (m), CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS answer,
+            CAST(round_even(list_max(m) * 1e12, 0) AS HUGEINT) AS value
+          FROM (
+            SELECT w.*, [{folded}] AS m
+            FROM walk w LEFT JOIN (
+              SELECT w.conflict_id, w.ord, {lowest}
+              FROM walk w JOIN pair_q q ON q.conflict_id = w.conflict_id AND q.own_ord = w.ord
+                JOIN walk i ON i.conflict_id = q.conflict_id AND i.ord = q.intr_ord
+              GROUP BY ALL) low ON low.conflict_id = w.conflict_id AND low.ord = w.ord
+            WHERE NOT w.done))
+        WINDOW grp AS (PARTITION BY conflict_id), turn AS (PARTITION BY conflict_id ORDER BY p, ord))
+      WINDOW grp AS (PARTITION BY conflict_id))
+    WINDOW grp AS (PARTITION BY conflict_id))),
+resolved AS (
+  SELECT conflict_id, flight_id, ord, CAST(best AS INTEGER) AS action_idx, {_BANKS}[best + 1] AS bank,
+    CAST(best_total AS DOUBLE) / 1e12 AS joint_util, CAST(sweep AS INTEGER) AS n_iter, sweep = 100 AS hit_cap
+  FROM walk JOIN roster USING (conflict_id, ord) WHERE done)"""
+
+
+_ORDER_HASH = f"""CAST('0x' || substr(md5('{SHUFFLE_SEED}|order|' || conflict_id || '|' || ord), 1, 13) AS BIGINT)
+    % {SHUFFLE_PRIME - 1} + 1"""
+_FACTORS = "[" + ", ".join(f"{sweep_factor(SHUFFLE_SEED, s)}::BIGINT" for s in range(MAX_SWEEPS + 1)) + "]"
+
 RESOLVE = "WITH RECURSIVE " + ",\n".join((*UTILITIES, FAR, SEARCH, RESOLVED)) + "\n"
 
+_RESOLUTION = f"""SELECT conflict_id, flight_id, ord, action_idx, {_r('bank')} AS bank,
+  {_r('joint_util')} AS joint_util, n_iter, hit_cap FROM resolved"""
+
 _ADVISORY = f"""SELECT conflict_id, flight_id, bank = -1 AS clear_of_conflict,
   {_r('lat')} AS lat, {_r('lon')} AS lon, {_r('speed')} AS speed, {_r('heading')} AS heading,
   CAST({DECISION_PERIOD_S} AS DOUBLE) AS period_s, {_r(_turn('bank', 'speed'))} AS turn_rate
@@ -533,10 +598,13 @@ FROM all_pairs WHERE NOT terminal""",
     + f"SELECT conflict_id, {_r('sum(util)')} AS joint_util, count(*) AS n_aircraft FROM best GROUP BY ALL",
     **dict.fromkeys(
         ("resolve_conflicts", "resolve_distributed"),
-        RESOLVE
-        + f"""SELECT conflict_id, flight_id, ord, action_idx, {_r('bank')} AS bank,
-  {_r('joint_util')} AS joint_util, n_iter, hit_cap FROM resolved""",
+        RESOLVE + _RESOLUTION,
     ),
+    "resolve_hub": "WITH RECURSIVE "
+    + ",\n".join((_reports(HUB_BOX), HUB, *UTILITIES[2:], FAR, _rounds("CAST(NULL AS BIGINT[])")))
+    + "\n"
+    + _RESOLUTION,
+    "resolve_shuffled": "WITH RECURSIVE " + ",\n".join((*UTILITIES, FAR, _rounds(_FACTORS))) + "\n" + _RESOLUTION,
     "default_policy": RESOLVE + "SELECT conflict_id, flight_id, ord, action_idx FROM resolved",
     "function_policy": _with(REPORTS, FLIGHTS, ROSTER)
     + f"""SELECT conflict_id, flight_id, ord, CAST((pos - 1) % {N_ACTIONS} AS INTEGER) AS action_idx,

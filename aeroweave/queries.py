@@ -78,6 +78,8 @@ from .streaming import apply_advisories_stream, close_ingest, start_advise, star
 Query = Callable[[SparkSession, str], DataFrame]
 
 GRID = Grid()
+
+SHUFFLE_SEED = 11
 POLICY = TablePolicy(fixtures.synthetic_utility(), GRID)
 SWEEP_METRES = tuple(linear_range(-2500.0, 2500.0, 10))
 HUB_BOX = 200_001
@@ -655,7 +657,7 @@ def resolve_distributed_query(spark, sf):
 
 
 def resolve_shuffled_query(spark, sf):
-    resolved = resolve_conflicts(_flights(spark, sf), POLICY, order="shuffle", seed=11)
+    resolved = resolve_conflicts(_flights(spark, sf), POLICY, order="shuffle", seed=SHUFFLE_SEED)
     return _rounded(resolved, "bank", "joint_util")
 
 
