@@ -75,21 +75,22 @@ class EliasFano:
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
-        start, left = int(self.sample[i // _SAMPLE]), i % _SAMPLE
-        # the wanted bit is the (left + 1)-th set one from the sampled bit on
-        byte = start // 8
-        span = np.unpackbits(self.unary[byte : byte + 1], bitorder="little")
-        span[: start % 8] = 0
-        while (found := int(span.sum())) <= left:
-            left -= found
-            byte += 1
-            span = np.unpackbits(self.unary[byte : byte + 1], bitorder="little")
-        one = 8 * byte + int(np.flatnonzero(span)[left])
-        value = (one - i) << self.low_bits
-        for k in range(self.low_bits):
-            bit = i * self.low_bits + k
-            value |= ((int(self.low[bit // 8]) >> (bit % 8)) & 1) << k
-        return value
+        block, left = divmod(i, _SAMPLE)
+        start = int(self.sample[block])
+        stop = int(self.sample[block + 1]) if block + 1 < len(self.sample) else 8 * len(self.unary)
+        # the wanted bit is the (left + 1)-th set one from the sampled bit on: halve the span by counting
+        span = int.from_bytes(self.unary[start // 8 : -(-stop // 8)].tobytes(), "little") >> (start % 8)
+        one, size = start, 1 << (stop - start).bit_length()
+        while size > 1:
+            size >>= 1
+            lower = span & ((1 << size) - 1)
+            if (ones := lower.bit_count()) <= left:
+                left, span, one = left - ones, span >> size, one + size
+            else:
+                span = lower
+        bit = i * self.low_bits
+        low = int.from_bytes(self.low[bit // 8 : -(-(bit + self.low_bits) // 8)].tobytes(), "little") >> (bit % 8)
+        return (one - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
 
 def write_segment(keys: list[int | None], ids: list[bytes], start: int, width: int) -> bytes:
@@ -175,7 +176,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int) -
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` and, if wanted, ``ids`` of every document of a store.
 
-    ``start`` counts the ids of all documents before it; it needs one number per written partition on the driver.
+    ``start`` counts the ids of all documents before it, by select on the boundaries; it needs one number per written
+    partition on the driver.
     """
     store = spark.read.parquet(path)
     totals = {r["part"]: r["n"] for r in store.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
@@ -187,8 +189,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 segment = Segment(blob.as_py())
-                ends = segment.ends.all().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                starts = np.array([segment.offset(i) for i in range(segment.n_docs)], np.int64)
+                ends = np.append(starts[1:], len(segment.ids))
                 wide = segment.ids.astype("<u4")
                 sums = [zlib.crc32(wide[s:e].tobytes()) for s, e in zip(starts, ends, strict=True)]
                 columns = {
