@@ -4,7 +4,7 @@ URLs that a rule accepts or rejects teach two variable-order Markov models. Each
 after the longest context it has counts for and blends with the shorter ones (Witten-Bell weights:
 a context counts as much as it was seen against how many different characters followed it). A URL that
 no rule fits is judged by the mean over its characters of ``log p_accepted - log p_rejected``; the
-threshold is the score that separates held-out rule decisions best.
+threshold is the score that separates rule decisions best, each scored by models that have not seen it.
 
 Counts cover every URL that a rule decides. Characters fall into ``SYMBOLS`` classes, so a model is a
 table of at most ``len(SYMBOLS) ** (ORDER + 1)`` counts whatever the input: that is what is sent to the tasks.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with its own.
 Rule = tuple[str, str, str]
-#: Class 0 begins and ends a URL, the last class is every other character; all digits are one class.
-SYMBOLS = "\0abcdefghijklmnopqrstuvwxyz0./-_?=&:%~+#,@\1"
+#: Class 0 begins and ends a URL, the last class is every other character.
+SYMBOLS = "\0abcdefghijklmnopqrstuvwxyz0123456789./-_?=&:%~+#,@\1"
 ORDER = 3
 _BINS = 2000
 _RANGE = 10.0
@@ -51,7 +51,6 @@ def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     table = np.full(128, len(SYMBOLS) - 1, np.int64)
     for i, s in enumerate(SYMBOLS[1:-1], 1):
         table[ord(s)] = i
-    table[ord("0") : ord("9") + 1] = SYMBOLS.index("0")
     table[ord("A") : ord("Z") + 1] = table[ord("a") : ord("z") + 1]
     texts = [t or "" for t in column.to_pylist()]
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -124,30 +123,46 @@ class CharModel:
         return np.log(p)
 
 
-def score_urls(urls: DataFrame, accepted: CharModel, rejected: CharModel) -> DataFrame:
-    """``urls`` plus ``score``, the mean log ratio per character (above 0: more like the accepted ones)."""
-    models = urls.sparkSession.sparkContext.broadcast((accepted, rejected))
-    at = urls.columns.index("url")
+def score_urls(urls: DataFrame, models: list[tuple[CharModel, CharModel]]) -> DataFrame:
+    """``urls`` plus ``score``, the mean log ratio per character (above 0: more like the accepted ones).
+
+    ``models`` are pairs of an accepted and a rejected model; a row uses the pair that its column ``fold`` numbers.
+    """
+    shared = urls.sparkSession.sparkContext.broadcast(models)
+    at, of = urls.columns.index("url"), urls.columns.index("fold")
 
     def run(batches):
-        yes, no = models.value
         for batch in batches:
             gram, row = _grams(batch.column(at))
-            ratio = np.bincount(row, weights=yes.log_p(gram) - no.log_p(gram), minlength=batch.num_rows)
+            fold = np.asarray(batch.column(of))[row]
+            ratio = np.zeros(len(gram))
+            for k in np.unique(fold):
+                yes, no = shared.value[k]
+                own = fold == k
+                ratio[own] = yes.log_p(gram[own]) - no.log_p(gram[own])
+            total = np.bincount(row, weights=ratio, minlength=batch.num_rows)
             length = np.bincount(row, minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio / np.maximum(length, 1))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / np.maximum(length, 1))], [*batch.schema.names, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
     return urls.mapInArrow(run, f"{fields}, score double")
 
 
-def _models(taught: DataFrame) -> tuple[CharModel, CharModel]:
-    rows = np.array([tuple(r) for r in count_grams(taught).collect()], np.int64).reshape(-1, 3)
-    return tuple(CharModel(rows[rows[:, 0] == label, 1], rows[rows[:, 0] == label, 2]) for label in (1, 0))
+def _models(taught: DataFrame, folds: int) -> list[tuple[CharModel, CharModel]]:
+    """A pair of models without each fold's URLs and, last, the pair of all URLs; counted in one pass over ``url, label, fold``."""
+    marked = taught.select("url", (F.col("fold") * 2 + F.col("label")).alias("label"))
+    counts = count_grams(marked).toArrow()
+    mark, gram, n = (counts.column(c).to_numpy() for c in ("label", "gram", "n"))
+
+    def model(label: int, without: int) -> CharModel:
+        own = (mark % 2 == label) & (mark // 2 != without)
+        return CharModel(gram[own], n[own])
+
+    return [(model(1, k), model(0, k)) for k in range(folds + 1)]
 
 
 def _threshold(scored: DataFrame) -> float:
-    """The score with the best balanced accuracy on ``score, label``; 0 if a class is missing."""
+    """The score with the best balanced accuracy on ``score, label``; 0 if rules decide for one class only."""
     place = F.least(F.greatest(F.floor((F.col("score") + _RANGE) / (2 * _RANGE) * _BINS), F.lit(0)), F.lit(_BINS - 1))
     rows = scored.groupBy(place.alias("bin"), "label").count().collect()
     hist = np.zeros((2, _BINS))
@@ -166,18 +181,22 @@ def _threshold(scored: DataFrame) -> float:
 def judge_urls(pages: DataFrame, rules: list[Rule], folds: int = 5) -> DataFrame:
     """``page_id, url, host, path, rule, score, verdict`` for every row; verdicts are ``allow`` or ``block``.
 
-    The threshold is calibrated with models that leave out the URLs it is measured on (one of ``folds`` parts by URL
-    hash); the final models use all of them. NULL or odd URLs have an empty host and path, fit no rule unless one is empty, and
-    are judged by the models like others; with no decided URLs at all every score is 0 and the verdict allow. Repeated rows
-    are judged alike; other columns are ignored; an empty table gives no rows.
+    The threshold is calibrated on all URLs that rules decide: they fall into ``folds`` parts by hash, and each part is scored by
+    models of the others. Verdicts come from models of all parts. NULL or odd URLs have an empty host and path, fit no rule unless one is empty, and
+    are judged by the models like others; if rules decide for one class only, the threshold is 0; with no decided URLs at all every score is 0
+    and the verdict allow. Repeated rows are judged alike; other columns are ignored; an empty table gives no rows.
     """
     base = pages.select("page_id", "url")
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     ruled = base.withColumns({"host": host, "path": path}).withColumns({"rule": name, "ruled": verdict})
-    taught = ruled.where("ruled is not null").select("url", F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label"))
-    held_out = F.pmod(F.xxhash64("url"), F.lit(folds)) == 0
-    threshold = _threshold(score_urls(taught.where(held_out), *_models(taught.where(~held_out))))
-    scored = score_urls(ruled, *_models(taught))
+    taught = ruled.where("ruled is not null").select(
+        "url",
+        F.when(F.col("ruled") == "allow", 1).otherwise(0).alias("label"),
+        F.pmod(F.xxhash64("url"), F.lit(folds)).cast("int").alias("fold"),
+    )
+    models = _models(taught, folds)
+    threshold = _threshold(score_urls(taught, models))
+    scored = score_urls(ruled.withColumn("fold", F.lit(folds)), models)
     learned = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "url", "host", "path", "rule", "score", F.coalesce("ruled", learned).alias("verdict"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from aeroweave.llm import quality, url_filter
 from aeroweave.llm.oracle import ORACLES
-from aeroweave.llm.queries import QUERIES, URL_RULES
+from aeroweave.llm.queries import QUERIES, URL_RULES, conversation_log
 
 
 def rows_of(pdf):
@@ -97,6 +98,59 @@ def test_url_filter(spark, result):
         assert r.verdict == (rule[2] if rule else r.verdict) and r.verdict in ("allow", "block")
 
 
+def plain_log_p(seen, gram):
+    """Witten-Bell estimate of the last of four symbols, straight from the four-symbol counts ``seen``."""
+    p = 1 / len(url_filter.SYMBOLS)
+    for order in range(len(gram)):
+        after = Counter()
+        for other, n in seen.items():
+            if other[len(gram) - 1 - order : -1] == gram[len(gram) - 1 - order : -1]:
+                after[other[-1]] += n
+        if after:
+            p = (after[gram[-1]] + len(after) * p) / (after.total() + len(after))
+    return math.log(p)
+
+
+def test_url_verdicts_follow_the_models(spark):
+    urls = [f"http://a.org/{w}" for w in ("fr/x1", "fr/y2", "fr/x2", "fr/é", "de/x1", "de/z2", "de/z3", "de/Q?u=1")]
+    urls += [f"http://b.net/{w}" for w in ("fr/x", "de/z", "fr/z9", "de/y", "")] + [None, "", "none", "http://a.org/de/z3"]
+    told = [("org", "/fr/", "allow"), ("org", "/de/", "block")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    fold = {u: f for u, f in pages.selectExpr("url", "pmod(xxhash64(url), 5)").collect()}
+    symbols = url_filter.SYMBOLS
+
+    def grams(url):
+        one = [symbols[0]] * 3 + [c if c in symbols[1:-1] else symbols[-1] for c in re.sub("[A-Z]", lambda m: m[0].lower(), url or "")] + [symbols[0]]
+        return ["".join(one[i - 3 : i + 1]) for i in range(3, len(one))]
+
+    def score(url, taught):
+        seen = {v: Counter(g for u in taught if ("/fr/" in u) == v for g in grams(u)) for v in (True, False)}
+        return sum(plain_log_p(seen[True], g) - plain_log_p(seen[False], g) for g in grams(url)) / len(grams(url))
+
+    decided = [u for u in urls if u and "a.org/" in u]
+    place = lambda x: min(max(math.floor((x + 10) / 20 * 2000), 0), 1999)
+    held = [(place(score(u, [t for t in decided if fold[t] != fold[u]])), "/fr/" in u) for u in decided]
+    gain = [
+        sum(p < b for p, good in held if not good) / sum(not good for _, good in held) + sum(p >= b for p, good in held if good) / sum(good for _, good in held)
+        for b in range(2001)
+    ]
+    top = [b for b, g in enumerate(gain) if g >= max(gain) - 1e-12]
+    threshold = (min(top) + max(top)) / 2 / 2000 * 20 - 10
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, told).collect()}
+    for i, url in enumerate(urls):
+        want = score(url, decided)
+        assert abs(got[i].score - want) < 1e-9
+        ruled = url in decided
+        assert got[i].verdict == (("allow" if "/fr/" in url else "block") if ruled else "allow" if want >= threshold else "block")
+    assert {got[i].verdict for i, u in enumerate(urls) if u not in decided} == {"allow", "block"}
+
+
+def test_conversation_log_drafts_edits_and_regenerates(spark):
+    log = conversation_log(spark.read.parquet(f"{SF_DIR}/conversations.parquet")).toPandas()
+    assert set(log.kind) == {"start", "delta", "edit", "regenerate"}
+    assert len(log) > 2.5 * len(log.drop_duplicates(["conv_id", "message"]))
+
+
 def test_url_models_tell_held_out_rules_apart(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     told = [("com", "/fr/", "allow"), ("com", "/de/", "block"), ("net", "/fr/", "allow"), ("net", "/de/", "block")]
