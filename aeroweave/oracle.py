@@ -609,6 +609,16 @@ FROM all_pairs WHERE NOT terminal""",
     "function_policy": _with(REPORTS, FLIGHTS, ROSTER)
     + f"""SELECT conflict_id, flight_id, ord, CAST((pos - 1) % {N_ACTIONS} AS INTEGER) AS action_idx,
   {_r(f'{_BANKS}[(pos - 1) % {N_ACTIONS} + 1]')} AS bank FROM roster""",
+    "streamed_policy": _with(
+        REPORTS,
+        FLIGHTS,
+        ROSTER,
+        """steps AS (SELECT *, CASE WHEN pos = 1 THEN 0 WHEN speed > lag(speed) OVER w THEN 2 ELSE 1 END AS step FROM roster
+  WINDOW w AS (PARTITION BY conflict_id ORDER BY ord))""",
+        f"""turned AS (SELECT *, CAST(sum(step) OVER (PARTITION BY conflict_id ORDER BY ord) % {N_ACTIONS} AS INTEGER) AS action_idx
+  FROM steps)""",
+    )
+    + f"SELECT conflict_id, flight_id, ord, action_idx, {_r(f'{_BANKS}[action_idx + 1]')} AS bank FROM turned",
     "advise": RESOLVE + _ADVISORY + "FROM resolved",
     "advise_stream": RESOLVE + _ADVISORY + "FROM resolved",
     "policy_sweep": "WITH RECURSIVE "

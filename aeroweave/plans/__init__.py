@@ -4,10 +4,12 @@ from .advise import advise, advisory_rows
 from .policy import FunctionPolicy, Policy, TablePolicy, default_policy
 from .resolve import maxmin, resolve_conflicts, worst_cases
 from .sweep import policy_sweep, sweep_scenarios
+from .table_function import StreamedPolicy
 
 __all__ = [
     "FunctionPolicy",
     "Policy",
+    "StreamedPolicy",
     "TablePolicy",
     "advise",
     "advisory_rows",

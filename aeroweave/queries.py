@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -35,6 +36,7 @@ from .operators import (
 )
 from .plans import (
     FunctionPolicy,
+    StreamedPolicy,
     TablePolicy,
     advise,
     advisory_rows,
@@ -683,6 +685,28 @@ def function_policy_query(spark, sf):
     return resolved.select("conflict_id", "flight_id", "ord", "action_idx", _r("bank").alias("bank"))
 
 
+def _yielding():
+    """Each aircraft turns one step further than the one before it, two if it is faster."""
+    seen = [0, None]
+
+    def rule(flight):
+        if seen[1] is not None:
+            seen[0] = (seen[0] + (2 if flight["speed"] > seen[1] else 1)) % N_ACTIONS
+        seen[1] = flight["speed"]
+        return seen[0]
+
+    return rule
+
+
+def streamed_policy_query(spark, sf):
+    """A rule that sees the aircraft of a group one by one, called from SQL as a table function."""
+    StreamedPolicy(_yielding).register(spark, "yielding")
+    name = f"flights_{uuid.uuid4().hex}"
+    _flights(spark, sf).createOrReplaceTempView(name)
+    resolved = spark.sql(f"SELECT * FROM yielding(TABLE({name}))")
+    return resolved.select("conflict_id", "flight_id", "ord", "action_idx", _r("bank").alias("bank"))
+
+
 def advise_query(spark, sf):
     """Published advisories of every group, decoded again."""
     decoded = decode_advisories(advise(_flights(spark, sf), POLICY))

@@ -10,7 +10,7 @@ from aeroweave.fixtures import synthetic_utility
 from aeroweave.functions.angles import joint_action_index
 from aeroweave.operators import best_response, brick_table, in_range_pairs, pair_belief, pair_utility_by_brick, pair_utility_by_join, worst_case
 from aeroweave.operators.pairs import distinct_state_pairs
-from aeroweave.plans import FunctionPolicy, Policy, TablePolicy, maxmin, policy_sweep, resolve_conflicts, worst_cases
+from aeroweave.plans import FunctionPolicy, Policy, StreamedPolicy, TablePolicy, maxmin, policy_sweep, resolve_conflicts, worst_cases
 from aeroweave.plans import policy as policy_module
 from aeroweave.plans import resolve as resolve_module
 from aeroweave.plans.resolve import _large_groups
@@ -230,6 +230,44 @@ def test_function_policy_gets_every_group(make_flights, scenario):
     assert {r.conflict_id: r.action_idx for r in seen} == {c: n % 6 for c, n in sizes.items()}
 
 
+@pytest.fixture
+def counting():
+    """Makes rules that remember how many aircraft of their group came before."""
+
+    def make():
+        seen = []
+
+        def rule(flight):
+            seen.append(flight["ord"])
+            return (len(seen) - 1) % 6
+
+        return rule
+
+    return make
+
+
+def test_streamed_policy_sees_a_group_in_order(make_flights, scenario, spark, counting):
+    policy = StreamedPolicy(counting)
+    flights = make_flights(scenario).withColumn("action_idx", F.lit("clash"))
+    want = {(c, i): i % 6 for c, ms in groups_of(scenario).items() if len(ms) > 1 for i in range(len(ms))}
+    got = policy.resolve(flights.repartition(5, "speed"))
+    assert isinstance(policy, Policy) and {(r.conflict_id, r.ord): r.action_idx for r in got.collect()} == want
+    policy.register(spark, "counted")
+    flights.createOrReplaceTempView("flights_of_test")
+    assert spark.sql("SELECT * FROM counted(TABLE(flights_of_test))").count() == len(want)
+    assert policy.resolve(flights.where("false")).count() == 0
+    unnamed = flights.withColumn("ord", F.monotonically_increasing_id()).withColumn("conflict_id", F.lit(None).cast("string"))
+    assert policy.resolve(unnamed).count() == len(scenario)
+
+
+@pytest.mark.parametrize("broken, message", [("drop", "lack"), ("repeat", "not unique")])
+def test_streamed_policy_rejects_bad_flights(make_flights, scenario, counting, broken, message):
+    flights = make_flights(scenario)
+    flights = flights.drop("speed") if broken == "drop" else flights.withColumn("ord", F.lit(0).cast("bigint"))
+    with pytest.raises(Exception, match=message):
+        StreamedPolicy(counting).resolve(flights).collect()
+
+
 def test_sparse_group_is_bounded_by_its_aircraft(spark, policy):
     """A wide lattice has no pairs in range, but still too many aircraft for one task."""
     lattice = spark.range(3000).selectExpr(
