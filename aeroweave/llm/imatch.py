@@ -72,22 +72,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(odd, 0.0).otherwise(share)
 
 
-def _ranges(docs: DataFrame) -> Column:
-    """Number of the id range of a row, ascending with the id; NULL ids are range -1.
+def with_ranges(docs: DataFrame) -> DataFrame:
+    """``docs`` plus ``part``, the number of the row's id range, ascending with the id; NULL ids are range -1.
 
-    Quantiles of the ids cut them evenly; each cut is divided further by value, so ranges hold about ``RANGE_BYTES``.
+    Ranges hold about ``RANGE_BYTES`` however the ids lie: quantiles cut them in ``_KNOTS``, and quantiles of each cut it again
+    until there are enough. Rows of one id, and rows without one, share a range.
     """
-    cuts = F.percentile_approx("doc_id", [i / _KNOTS for i in range(1, _KNOTS)], 10_000)
-    low, high, size, knots = docs.agg(F.min("doc_id"), F.max("doc_id"), F.sum(F.octet_length("text")), cuts).first()
-    if low is None:
-        return F.lit(-1).cast("bigint")
-    knots = sorted(set(knots) - {low})
-    edges = [low, *knots, high + 1]
-    parts = max(1, -(-int(size or 0) // RANGE_BYTES) // len(knots) if knots else 1)
-    at = F.size(F.filter(F.lit(knots) if knots else F.array().cast("array<bigint>"), lambda k: k <= F.col("doc_id")))
-    start, stop = (F.get(F.lit(e), at) for e in (edges[:-1], edges[1:]))
-    inner = F.least(F.lit(parts - 1), F.floor((F.col("doc_id") - start).cast("double") / (stop - start).cast("double") * parts))
-    return F.coalesce(at.cast("bigint") * parts + inner, F.lit(-1).cast("bigint"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    named = F.col("doc_id").isNotNull()
+    ranged = docs.withColumn("part", F.when(named, 0).otherwise(-1).cast("bigint"))
+    n_ranges = 1
+    while n_ranges * RANGE_BYTES < size:
+        cuts = F.percentile_approx("doc_id", [i / _KNOTS for i in range(1, _KNOTS)], 10_000)
+        cuts = stored(ranged.where(named).groupBy(F.col("part").alias("whole")).agg(cuts.alias("cuts")), "cuts")
+        # one row of knots per range: 2 MB at most when sent to the tasks
+        cuts = F.broadcast(cuts) if n_ranges <= _KNOTS**2 else cuts
+        inner = F.size(F.filter("cuts", lambda k: k <= F.col("doc_id")))
+        finer = F.when(named, F.col("part") * _KNOTS + inner).otherwise(-1).cast("bigint")
+        ranged = ranged.join(cuts, F.col("part") == F.col("whole"), "left").select(*docs.columns, finer.alias("part"))
+        n_ranges *= _KNOTS
+    return ranged
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -102,7 +106,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     """
     base = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     words = F.broadcast(stored(lexicon(base), "lexicon"))
-    ranged = base.withColumn("part", _ranges(base))
+    ranged = with_ranges(base)
     # the first row of the next lower range closes each range, so that neighbours never cross one
     heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"))
     order = Window.orderBy(F.col("part").desc())

@@ -11,11 +11,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from conftest import SF_DIR
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from aeroweave.llm import quality, url_filter
+from aeroweave.llm import imatch, quality, url_filter
 from aeroweave.llm.oracle import ORACLES
 from aeroweave.llm.queries import QUERIES, URL_RULES, conversation_log
 
@@ -197,6 +198,64 @@ def test_fingerprints(result, docs):
     assert got.near_edited.between(0, 1).all() and got.near_edited.mean() > 3 * got.near_next.mean()
 
 
+def chained(parts, seed=42):
+    """Spark's hash of a row or array: each value is hashed with the hash so far as seed."""
+    for part in parts:
+        seed = xxhash.xxh64_intdigest(part, seed=seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def long_bytes(value):
+    return value.to_bytes(8, "little", signed=True)
+
+
+def test_fingerprints_against_plain_hashing(result, docs):
+    words = lambda text: {w for w in re.split(r"[ \t\n\x0b\x0c\r]", text.lower()) if w}
+    df = Counter(w for text in docs.values() for w in words(text or ""))
+    band = {w: chained([w.encode()]) for w, n in df.items() if n > 1 and imatch.LOW * len(docs) <= n <= imatch.HIGH * len(docs)}
+    holds = {
+        t: [chained([long_bytes(t), k.to_bytes(4, "little")]) % 10_000 < int(rate * 10_000) for k, rate in enumerate(imatch.SUBSETS)]
+        for t in band.values()
+    }
+
+    def fingerprint(text):
+        found = sorted(t for w in words(text) if (t := band.get(w)) is not None and any(holds[t]))
+        if not found:
+            return f"text-{chained([text.encode()]) % 2**64:X}"
+        kept = [[t for t in found if holds[t][k]] for k in range(len(imatch.SUBSETS))]
+        return "-".join(f"{chained(map(long_bytes, ts)) % 2**32:08x}" if ts else "" for ts in kept)
+
+    def alike(a, b):
+        if a == b or a.startswith("text-") or b.startswith("text-"):
+            return float(a == b)
+        told = [x == y for x, y in zip(a.split("-"), b.split("-"), strict=True) if x or y]
+        return sum(told) / len(told)
+
+    order = sorted(docs, reverse=True)
+    got = result("op8_fingerprints").set_index("doc_id")
+    for key, following in zip(order, order[1:] + order[:1], strict=True):
+        text, other, r = docs[key] or "", docs[following] or "", got.loc[key]
+        edited = text[: len(text) - len(text) // 2] + other[: len(text) // 2]
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprint(text), fingerprint(edited))
+        assert abs(r.near_edited - alike(r.fingerprint, r.edited_fingerprint)) < 1e-12
+        assert abs(r.near_next - alike(r.fingerprint, fingerprint(other))) < 1e-12
+    assert sum(p.startswith("text-") for p in got.fingerprint) < len(got) / 2
+
+
+def test_ranges_stay_even_beside_an_outlying_id(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 1000)
+    monkeypatch.setattr(imatch, "_KNOTS", 8)
+    text = "repeat('x', 50) as text"
+    docs = spark.range(3000).selectExpr("if(id = 2999, 1000000000000000000, id) as doc_id", text)
+    docs = docs.unionByName(spark.range(5).selectExpr("cast(null as bigint) as doc_id", text))
+    got = imatch.with_ranges(docs).toPandas()
+    sizes = got[got.doc_id.notna()].groupby("part").size()
+    assert len(got) == 3005 and sizes.max() < 40 and (got.part[got.doc_id.isna()] == -1).all()
+    named = got.dropna().sort_values("doc_id")
+    assert named.part.is_monotonic_increasing
+    assert imatch.with_ranges(docs.where("false")).count() == 0
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at = {}
