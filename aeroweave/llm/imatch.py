@@ -78,19 +78,23 @@ def with_ranges(docs: DataFrame) -> DataFrame:
     Ranges hold about ``RANGE_BYTES`` however the ids lie: quantiles cut them in ``_KNOTS``, and quantiles of each cut it again
     until there are enough. Rows of one id, and rows without one, share a range.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    named = F.col("doc_id").isNotNull()
-    ranged = docs.withColumn("part", F.when(named, 0).otherwise(-1).cast("bigint"))
-    n_ranges = 1
-    while n_ranges * RANGE_BYTES < size:
-        cuts = F.percentile_approx("doc_id", [i / _KNOTS for i in range(1, _KNOTS)], 10_000)
-        cuts = stored(ranged.where(named).groupBy(F.col("part").alias("whole")).agg(cuts.alias("cuts")), "cuts")
+
+    def cuts(n: int) -> Column:
+        return F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)
+
+    size, first = docs.agg(F.sum(F.octet_length("text")), cuts(_KNOTS)).first()
+    named, below = F.col("doc_id").isNotNull(), lambda k: k <= F.col("doc_id")
+    at = F.size(F.filter(F.lit(first), below)) if first else F.lit(0)
+    ranged = docs.withColumn("part", F.when(named, at).otherwise(-1).cast("bigint"))
+    n_ranges = _KNOTS
+    while n_ranges * RANGE_BYTES < (size or 0):
+        n = min(_KNOTS, -(-size // (n_ranges * RANGE_BYTES)))
+        inner = stored(ranged.where(named).groupBy(F.col("part").alias("whole")).agg(cuts(n).alias("cuts")), "cuts")
         # one row of knots per range: 2 MB at most when sent to the tasks
-        cuts = F.broadcast(cuts) if n_ranges <= _KNOTS**2 else cuts
-        inner = F.size(F.filter("cuts", lambda k: k <= F.col("doc_id")))
-        finer = F.when(named, F.col("part") * _KNOTS + inner).otherwise(-1).cast("bigint")
-        ranged = ranged.join(cuts, F.col("part") == F.col("whole"), "left").select(*docs.columns, finer.alias("part"))
-        n_ranges *= _KNOTS
+        inner = F.broadcast(inner) if n_ranges <= _KNOTS**2 else inner
+        finer = F.when(named, F.col("part") * n + F.size(F.filter("cuts", below))).otherwise(-1).cast("bigint")
+        ranged = ranged.join(inner, F.col("part") == F.col("whole"), "left").select(*docs.columns, finer.alias("part"))
+        n_ranges *= n
     return ranged
 
 
