@@ -10,6 +10,7 @@ from aeroweave.fixtures import synthetic_utility
 from aeroweave.functions import near as near_module
 from aeroweave.functions.angles import joint_action_index
 from aeroweave.operators import best_response, brick_table, in_range_pairs, pair_belief, pair_utility_by_brick, pair_utility_by_join, worst_case
+from aeroweave.operators import inside as inside_module
 from aeroweave.operators.pairs import distinct_state_pairs
 from aeroweave.plans import FunctionPolicy, Policy, StreamedPolicy, TablePolicy, maxmin, policy_sweep, resolve_conflicts, worst_cases
 from aeroweave.plans import policy as policy_module
@@ -400,10 +401,10 @@ def test_pairs_of_a_fleet_are_those_of_the_cells(make_flights, spark, monkeypatc
     rows += [("b", float("nan"), 0, 1, 12), ("d", 0, 0, 0, 10), ("d", 2000, -2000, 0, 10)]
     flights = make_flights(rows)
     want = {(p.conflict_id, p.own_ord, p.intr_ord): (p.x, p.y, p.bearing) for p in in_range_pairs(flights).collect()}
-    held = flights.select("conflict_id", "ord", *resolve_module._spread(flights)).orderBy("conflict_id", "ord").toArrow()
+    held = flights.select("conflict_id", "ord", *inside_module.spread(flights)).orderBy("conflict_id", "ord").toArrow()
     names = held.column("conflict_id").to_pylist()
     monkeypatch.setattr(near_module, "CHUNK_PAIRS", 50)
-    fleet = resolve_module._fleet(held, np.unique(names, return_inverse=True)[1], np.arange(len(names)))
+    fleet = inside_module.fleet(held, np.unique(names, return_inverse=True)[1], np.arange(len(names)))
     ord_, got = held.column("ord").to_pylist(), {}
     for own, intr, points in fleet.chunks(np.arange(len(names))):
         got |= {(names[i], ord_[i], ord_[j]): tuple(p[:3]) for i, j, p in zip(own, intr, points)}
